@@ -10,7 +10,7 @@ from tallyloom.functions import jsonx, text, times
 from tallyloom.operators import copies, coverage, dedupe, ordered, reconcile
 from tallyloom.schemas import Tables, published_ord, tables, usage
 from tallyloom.sources.lake import (LAZY, Lake, Stage, list_files, records, scan_documents, scan_lines,
-                                    warning_rows)
+                                    sum_warnings, warning_rows)
 
 HARNESS = "claude"
 SCOPE = ["store_id", "harness"]
@@ -303,6 +303,9 @@ def normalize(raw: DataFrame, history: DataFrame | None = None, listing: DataFra
                                           "oversize_history_record": F.col("oversize")}, HARNESS))
         rows = dedupe.keep_first(history_prompts(hist), SCOPE + ["session_id"], "event_id", ["line_key"],
                                  ["at", "ms", "words", "characters", "has_text", "project", "line_key"])
+        per_file = hist.where(~F.col("bad") & ~F.col("oversize")).groupBy(*SCOPE, "session_id").agg(
+            (F.count_distinct("line_key.path") - 1).alias("n"))
+        warned.append(warning_rows(per_file, {"copied_session_files_coalesced": F.col("n")}, HARNESS))
         repeats = rows.where(F.col("copies") > 1)
         warned.append(warning_rows(repeats.select("store_id", (F.col("copies") - 1).alias("n")),
                                    {"copied_session_prompt_records": F.col("n")}, HARNESS))
@@ -326,6 +329,7 @@ def normalize(raw: DataFrame, history: DataFrame | None = None, listing: DataFra
         kept = split.where(~F.col("_consumed")).join(
             extra.select(*SCOPE, "session_id", "session_key", F.col("started_at").alias("session_at")),
             SCOPE + ["session_id"]).withColumns({"is_child": F.lit(False), "retained": F.lit(1).cast("long"),
+                                                 "copies": F.lit(1).cast("long"),
                                                  "ord": published_ord(F.col("line_key"))})
         prompts = prompts.unionByName(kept.select(*prompts.columns), allowMissingColumns=True)
         warned.append(warning_rows(extra, {"history_only_sessions": F.lit(True)}, HARNESS))
@@ -340,10 +344,7 @@ def normalize(raw: DataFrame, history: DataFrame | None = None, listing: DataFra
     refs, ref_warned = indexes if indexes else (None, None)
     cover, cover_warned = _coverage_facts(sessions, files, refs)
     warned += cover_warned + ([ref_warned] if ref_warned is not None else [])
-    all_warned = warned[0]
-    for w in warned[1:]:
-        all_warned = all_warned.unionByName(w)
-    warnings = stage(all_warned.groupBy(*SCOPE, "code").agg(F.sum("n").alias("n")), "claude_warnings")
+    warnings = stage(sum_warnings(warned), "claude_warnings")
     providers = _provider_rows(spark, sessions, files, cover, warnings, audit_files)
     return tables(spark, sessions=sessions, prompts=prompts, calls=calls, tools=tools,
                   warnings=warnings, providers=providers)
@@ -512,8 +513,8 @@ def read(spark: SparkSession, lake: Lake, stage: Stage | None = None) -> Tables:
     code, project = docs("claude_code_sessions", "local_*.json"), docs("claude_projects", "sessions-index.json")
     project = project.where(F.size(F.split("rel", "/")) == 2)
     desktop = list_files(spark, lake, "claude_desktop", "*.jsonl").where(
-        F.col("rel").rlike(r"(^|/)\.claude/projects/"))
-    desktop = place(desktop.withColumn("rel", F.regexp_extract("rel", r"(?:^|/)\.claude/projects/(.*)$", 1)))
+        F.col("rel").rlike(r"(^|/)\.?claude/projects/"))
+    desktop = place(desktop.withColumn("rel", F.regexp_extract("rel", r"(?:^|/)\.?claude/projects/(.*)$", 1)))
     history_files = list_files(spark, lake, "claude_history")
     audit = history_files.select("store_id")
     for df in (stats, state, code, project, desktop):

@@ -153,12 +153,23 @@ def records(raw: DataFrame, max_bytes: int) -> DataFrame:
 
 
 def warning_rows(df: DataFrame, flags: Mapping[str, Column], harness: str) -> DataFrame:
-    """(store_id, harness, code, n) from one aggregate of many counters."""
-    counted = df.groupBy("store_id").agg(*[
-        F.coalesce(F.sum(c.cast("bigint")), F.lit(0)).alias(code) for code, c in flags.items()])
-    cells = F.explode(F.array(*[F.struct(F.lit(code).alias("code"), F.col(code).alias("n")) for code in flags]))
-    return counted.select("store_id", F.lit(harness).alias("harness"), cells.alias("w")).select(
-        "store_id", "harness", "w.code", "w.n").where(F.col("n") > 0)
+    """(store_id, harness, code, n): a row per counter that is set.
+
+    Not aggregated here: all counters of a harness are summed by one later
+    aggregate, whose map side collapses them before its only shuffle.
+    """
+    cells = F.filter(F.array(*[F.struct(F.lit(code).alias("code"),
+                                        F.coalesce(flag.cast("bigint"), F.lit(0)).alias("n"))
+                               for code, flag in flags.items()]), lambda w: w["n"] > 0)
+    return df.select("store_id", F.lit(harness).alias("harness"), F.explode(cells).alias("w")).select(
+        "store_id", "harness", "w.code", "w.n")
+
+
+def sum_warnings(parts: Sequence[DataFrame]) -> DataFrame:
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = merged.unionByName(part)
+    return merged.groupBy("store_id", "harness", "code").agg(F.sum("n").alias("n"))
 
 
 class Stage:
