@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tallyloom.functions.text import WORD_PATTERN
 from tallyloom.schemas import conform, usage
 from tallyloom.session import configure
 
+#: Word count of a ``text`` column, for the oracle.
+WORDS_SQL = f"len(regexp_extract_all(text, '{WORD_PATTERN}'))"
 HARNESSES = ("claude", "codex", "hermes", "cursor")
 MTIME = "file modification time (no physical-session record)"
 

@@ -6,14 +6,12 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text
 from tallyloom.operators import coverage, metrics, views
-from tallyloom.plans.bindings import (EV, ev_calls, ev_model_activity, ev_prompts, ev_sessions, ev_tools,
+from tallyloom.plans.bindings import (EV, WORDS_SQL, ev_calls, ev_model_activity, ev_prompts, ev_sessions, ev_tools,
                                       ev_warnings, micros, table)
 from tallyloom.plans.registry import query
 
 H = metrics.FLEET
-# The white-space class of the word pattern, for the oracle.
-_WS = text.WHITE_SPACE_CLASS
-_WORDS = f"len(regexp_extract_all(text, '[^{_WS}]+'))"
+_WORDS = WORDS_SQL
 
 
 @query("sessions_by_harness", EV + "SELECT harness, count(*) AS sessions FROM sessions WHERE countable GROUP BY harness")
