@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from tallyloom.operators import ordered
@@ -42,13 +44,14 @@ def check_boundaries(claims: DataFrame, lines: DataFrame) -> DataFrame:
     asked = claims.where(F.col("previous").isNotNull()).select(
         "store_id", F.col("previous.path").alias("path"),
         F.col("base.end_byte_offset").alias("offset")).where(F.col("offset").isNotNull()).distinct()
-    at_end = lines.select("store_id", "path", F.col("end_offset").alias("offset"),
-                          F.col("ordinal").alias("ends"), F.lit(None).cast("bigint").alias("starts"),
-                          F.lit(True).alias("is_end"), F.lit(False).alias("is_start"))
-    at_start = lines.select("store_id", "path", F.col("start_offset").alias("offset"),
-                            F.lit(None).cast("bigint").alias("ends"), F.col("ordinal").alias("starts"),
-                            F.lit(False).alias("is_end"), F.lit(True).alias("is_start"))
-    seen = (at_end.unionByName(at_start).join(asked, ["store_id", "path", "offset"], "left_semi")
+    none = F.lit(None).cast("bigint")
+    edges = F.array(
+        F.struct(F.col("end_offset").alias("offset"), F.col("ordinal").alias("ends"), none.alias("starts"),
+                 F.lit(True).alias("is_end"), F.lit(False).alias("is_start")),
+        F.struct(F.col("start_offset").alias("offset"), none.alias("ends"), F.col("ordinal").alias("starts"),
+                 F.lit(False).alias("is_end"), F.lit(True).alias("is_start")))
+    seen = (lines.select("store_id", "path", F.explode(edges).alias("e")).select("store_id", "path", "e.*")
+            .join(asked, ["store_id", "path", "offset"], "left_semi")
             .groupBy("store_id", "path", "offset")
             .agg(F.max("ends").alias("ends"), F.max("starts").alias("starts"),
                  F.bool_or("is_end").alias("is_end"), F.bool_or("is_start").alias("is_start")))
@@ -69,13 +72,16 @@ def check_boundaries(claims: DataFrame, lines: DataFrame) -> DataFrame:
         "_path", "_offset", "ends", "starts", "is_end", "is_start")
 
 
-def stitch(segments: DataFrame, lines: DataFrame) -> DataFrame:
+def stitch(segments: DataFrame, lines: DataFrame,
+           stage: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """Segments with ``stitched``, ``group_size`` and, when stitched, the cut.
 
     ``cut_ordinal`` and ``cut_offset`` end a segment where its successor begins.
-    A broken chain cuts nothing.
+    A broken chain cuts nothing. The checked segments are read three times, so a
+    ``stage`` that writes them saves two passes over the lines.
     """
-    checked = check_boundaries(boundary_claims(segments), lines)
+    claims = stage(boundary_claims(segments), "chain_claims")
+    checked = stage(check_boundaries(claims, lines), "chain_checked")
     groups = checked.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("group_size"),
                                          F.bool_and("ok").alias("_all_ok"))
     cuts = checked.where(F.col("previous").isNotNull()).select(

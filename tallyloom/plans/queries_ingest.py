@@ -98,7 +98,7 @@ SELECT (SELECT count(*) FROM files WHERE NOT is_child AND NOT unanchored) AS ses
        (SELECT count(DISTINCT id) FILTER (NOT blank) + count(*) FILTER (blank) FROM tools) AS tools,
        (SELECT count(*) FROM calls WHERE model = 'm2') AS m2_turns""")
 def claude_ingest(spark, sf_dir):
-    t = claude.normalize(_claude_raw(spark, sf_dir), stage=Stage.shared(spark))
+    t = claude.normalize(_claude_raw(spark, sf_dir), stage=Stage.shared(spark), with_status=False)
     h = metrics.FLEET
     calls = metrics.distinct_calls(t.calls, h)
     prompts = metrics.distinct_prompts(t.prompts, h)
@@ -137,7 +137,7 @@ def claude_history(spark, sf_dir):
     record = _json(display=F.concat_ws(" ", F.lit("shown"), "k"), project=F.lit("/w/x"),
                    sessionId=F.concat(F.lit("u"), F.col("user_id")), timestamp=F.unix_millis("ts"))
     history = ev.where(F.col("event_type") == "view").select(*_line(F.lit("/lake/s/claude/history.jsonl"), F.col("event_id"), record))
-    t = claude.normalize(anchored, history, stage=Stage.shared(spark))
+    t = claude.normalize(anchored, history, stage=Stage.shared(spark), with_status=False)
     only = _by_session(t).where("history_only")
     return only.select("session_id", "prompts", F.unix_millis("started_at").alias("started"))
 
@@ -179,11 +179,11 @@ WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
 SELECT sid AS session_id, user_id % 7 = 3 AS is_child, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS ended,
        count(DISTINCT event_id % 50) FILTER (event_type IN ('view', 'click') AND k % 7 > 0) AS prompts,
        count(DISTINCT event_id % 4) FILTER (event_type = 'error') AS tool_calls,
-       coalesce(arg_max(k, k * 1000000000 + event_id) FILTER (event_type = 'purchase'), 0) AS input,
-       coalesce(arg_max(event_id, k * 1000000000 + event_id) FILTER (event_type = 'purchase'), 0) AS output
+       coalesce(arg_max(k, CAST(k AS BIGINT) * 1000000000 + event_id) FILTER (event_type = 'purchase'), 0) AS input,
+       coalesce(arg_max(event_id, CAST(k AS BIGINT) * 1000000000 + event_id) FILTER (event_type = 'purchase'), 0) AS output
 FROM e GROUP BY sid, user_id""")
 def codex_ingest(spark, sf_dir):
-    t = codex.normalize(_codex_raw(spark, sf_dir), stage=Stage.shared(spark))
+    t = codex.normalize(_codex_raw(spark, sf_dir), stage=Stage.shared(spark), with_status=False)
     return _by_session(t).select("session_id", "is_child", F.unix_micros("started_at").alias("started"),
                                  F.unix_micros("ended_at").alias("ended"), F.coalesce("prompts", F.lit(0)).alias("prompts"),
                                  "tool_calls", F.col("usage.input").alias("input"), F.col("usage.output").alias("output"))
@@ -194,7 +194,7 @@ SELECT model, count(*) AS turns FROM (
   SELECT sid, event_id % 5, 'm' || first(k % 3 ORDER BY event_id) AS model FROM e WHERE event_type = 'signup' AND user_id % 7 <> 3 GROUP BY 1, 2)
 GROUP BY model""")
 def codex_turns(spark, sf_dir):
-    t = codex.normalize(_codex_raw(spark, sf_dir), stage=Stage.shared(spark))
+    t = codex.normalize(_codex_raw(spark, sf_dir), stage=Stage.shared(spark), with_status=False)
     return t.model_activity.where("not is_child").groupBy("model").agg(F.sum("turns").alias("turns"))
 
 
@@ -299,10 +299,12 @@ def continue_ingest(spark, sf_dir):
         "session_id", "prompts", "words", F.coalesce("turns", F.lit(0)).alias("turns"), F.col("time_unavailable").alias("untimed"))
 
 
-@query("tasks_ingest", _EVK + """
-SELECT sid AS session_id, count(*) FILTER (event_type IN ('view', 'click')) AS prompts, epoch_us(min(ts)) // 1000 AS started, epoch_us(max(ts)) // 1000 AS ended,
-       coalesce(CAST(sum(k) FILTER (event_type IN ('purchase', 'error')) AS BIGINT), 0) AS input FROM e GROUP BY sid
-HAVING count(*) FILTER (event_type IN ('view', 'click')) > 0""")
+@query("tasks_ingest", _EVK + """,
+t AS (SELECT sid, count(*) FILTER (event_type IN ('view', 'click'))
+               + CASE WHEN arg_min(event_type, event_id) = 'signup' AND count(*) FILTER (event_type = 'view') = 0 THEN 1 ELSE 0 END AS prompts,
+             epoch_us(min(ts)) // 1000 AS started, epoch_us(max(ts)) // 1000 AS ended,
+             coalesce(CAST(sum(k) FILTER (event_type IN ('purchase', 'error')) AS BIGINT), 0) AS input FROM e GROUP BY sid)
+SELECT sid AS session_id, prompts, started, ended, input FROM t WHERE prompts > 0""")
 def tasks_ingest(spark, sf_dir):
     """A task per session, stored under two roots; the later root is ignored."""
     ev = events(spark, sf_dir)

@@ -9,6 +9,7 @@ from tallyloom.operators import audit, chain, copies, dedupe, ordered, reconcile
 from tallyloom.plans.bindings import EV, ev_calls, ev_sessions, events, table
 from tallyloom.plans.registry import query
 from tallyloom.schemas import usage
+from tallyloom.sources.lake import Stage
 
 SCOPE = ["store_id", "harness"]
 
@@ -290,6 +291,8 @@ def segment_stitch(spark, sf_dir):
     lines = ordered.rank(ranked, _LI_KEY, ["l_shipdate"], ["l_partkey"], "_in").select(
         F.lit("s").alias("store_id"), path.alias("path"), (F.col("_at") - 1).alias("ordinal"), "l_orderkey", "l_linenumber",
         ((F.col("_in") - 1) * 100).alias("start_offset"), (F.col("_in") * 100).alias("end_offset"))
+    stage = Stage.shared(spark)
+    lines = stage(lines, "lines")
     heads = lines.groupBy("store_id", "l_orderkey", "l_linenumber", "path").agg(
         F.min("ordinal").alias("first_ordinal"), F.max("end_offset").alias("size"))
     sizes = Window.partitionBy("l_orderkey").orderBy("l_linenumber")  # at most seven segments
@@ -298,7 +301,7 @@ def segment_stitch(spark, sf_dir):
                     F.col("first_ordinal").alias("end_ordinal_exclusive"))
     segments = heads.select("store_id", F.col("l_orderkey").cast("string").alias("thread_id"), "path", "first_ordinal",
                             F.lit(False).alias("packed"), F.when(before.isNotNull(), base).alias("base"))
-    plan = chain.stitch(segments, lines)
+    plan = chain.stitch(segments, lines, stage)
     return plan.groupBy(F.col("thread_id").cast("bigint").alias("l_orderkey")).agg(
         F.count(F.lit(1)).alias("segments"), F.bool_or("stitched").alias("stitched"))
 

@@ -246,9 +246,11 @@ def evidence(stats: DataFrame, state: DataFrame, code: DataFrame, project: DataF
 
 def normalize(raw: DataFrame, history: DataFrame | None = None, listing: DataFrame | None = None,
               indexes: tuple[DataFrame, DataFrame] | None = None, excluded: DataFrame | None = None,
-              audit_files: DataFrame | None = None, stage: Stage = LAZY) -> Tables:
+              audit_files: DataFrame | None = None, stage: Stage = LAZY, with_status: bool = True) -> Tables:
     """Tables of the harness from raw lines.
 
+    Without ``with_status`` the warning and provider tables stay empty.
+
     ``history``: raw prompt-history lines; ``indexes``: result of :func:`evidence`;
     ``excluded``: desktop transcripts (store_id); ``audit_files``: supplemental
     files per store, for the source-file count.
@@ -336,6 +338,8 @@ def normalize(raw: DataFrame, history: DataFrame | None = None, listing: DataFra
     sessions = stage(sessions, "claude_sessions")
     prompts = stage(prompts, "claude_prompts")
 
+    if not with_status:
+        return tables(spark, sessions=sessions, prompts=prompts, calls=calls, tools=tools)
     warned += _record_warnings(events, calls_per_file, tool_rows, files)
     warned += _copy_warnings(merged, prompts, merged_calls, conflicts, calls)
     if excluded is not None:

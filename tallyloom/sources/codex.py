@@ -158,7 +158,7 @@ def plan_segments(raw: DataFrame, events: DataFrame, stage: Stage) -> tuple[Data
     offsets = measured.drop("line").join(
         events.select("store_id", "path", "line_key", "ordinal"), ["store_id", "path", "line_key"], "left")
     plan = stage(chain.stitch(unique.select("store_id", "thread_id", "path", "first_ordinal", "packed", "base"),
-                              offsets), "codex_plan")
+                              offsets, stage), "codex_plan")
     suppressed = several.join(unique.select("store_id", "path"), ["store_id", "path"], "left_anti")
     files = (heads.join(suppressed.select("store_id", "path"), ["store_id", "path"], "left_anti")
              .join(plan.select("store_id", "path", "stitched", "cut_ordinal", "cut_offset"),
@@ -305,8 +305,11 @@ def state_paths(threads: DataFrame, listing: DataFrame, discovered: DataFrame, r
 
 def normalize(raw: DataFrame, history: DataFrame | None = None,
               indexes: tuple[DataFrame, list[DataFrame]] | None = None, extra_warnings: Sequence[DataFrame] = (),
-              source_files: DataFrame | None = None, stage: Stage = LAZY) -> Tables:
-    """Tables of the harness from raw rollout lines (plain-over-packed applied)."""
+              source_files: DataFrame | None = None, stage: Stage = LAZY, with_status: bool = True) -> Tables:
+    """Tables of the harness from raw rollout lines (plain-over-packed applied).
+
+    Without ``with_status`` the warning and provider tables stay empty.
+    """
     spark = raw.sparkSession
     events = stage(parse(raw), "codex_events")
     files, offsets, warned = plan_segments(raw.where(F.col("path").rlike(r"/?rollout-[^/]*$")), events, stage)
@@ -401,6 +404,8 @@ def normalize(raw: DataFrame, history: DataFrame | None = None,
             warning_rows(extra, {"history_only_sessions": F.lit(True)}, HARNESS)]
     sessions, prompts = stage(sessions, "codex_sessions"), stage(prompts, "codex_prompts")
 
+    if not with_status:
+        return tables(spark, sessions=sessions, prompts=prompts, model_activity=models)
     refs, ref_warned = indexes if indexes else (None, [])
     warned += [*ref_warned, *extra_warnings]
     facts = sessions.where(~F.col("is_child")).groupBy(*SCOPE).agg(

@@ -1,0 +1 @@
+"""No streaming jobs: every run is one batch pass over landed histories."""
