@@ -138,7 +138,7 @@ def normalize(raw: DataFrame, docs: DataFrame | None, source_files: DataFrame, s
     events = stage(events, "gemini_events")
     operations = events.select("store_id", "path", "line_key", F.posexplode("ops").alias("sub", "o")).select(
         "store_id", "path", _seq(F.col("sub")).alias("seq"), "o.*")
-    left = stage(replay.survivors(operations), "gemini_messages")
+    left = stage(replay.survivors(operations, stage), "gemini_messages")
 
     def latest(c: str) -> Column:
         return F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_key"))).alias(c)

@@ -99,8 +99,8 @@ def _model_replay(ops):
 def test_replay_equals_model(spark):
     rnd = random.Random(4)
     data, expected = [], {}
-    for log in range(30):
-        kinds = ["put", "put", "put", "patch"] + (["remove", "order", "rewind"] if log % 2 else [])
+    for log in range(60):
+        kinds = ["put", "put", "put", "patch"] + [[], ["remove", "rewind"], ["rewind"], ["remove", "order", "rewind"]][log % 4]
         ops = []
         for _ in range(rnd.randint(1, 25)):
             op = rnd.choice(kinds)
@@ -110,7 +110,7 @@ def test_replay_equals_model(spark):
             expected[f"log{log}", i] = words
         for n, (op, ident, ids, words) in enumerate(ops):
             message = ("user", None, words, words, True, None, 0, (False, False, 0, 0, 0, 0, 0, "")) if op in ("put", "patch") else None
-            data.append(("s", f"log{log}", (0, n, 0), op, ident, ids, message))
+            data.append(("s", f"log{log}", (n // 6, n, 0), op, ident, ids, message))
     df = spark.createDataFrame(data, "store_id string, path string, seq struct<block:long,n:long,sub:long>, op string, "
                                f"id string, ids array<string>, message {replay.MESSAGE}")
     out = replay.survivors(df.repartition(7))
