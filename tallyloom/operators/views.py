@@ -67,11 +67,16 @@ def dense_calendar(days: DataFrame, fallback: DataFrame | None = None) -> DataFr
             .select("date", F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
 
+def _all_days():
+    """A calendar holds one row per day, so a window over all of it stays small."""
+    return Window.partitionBy(F.lit(0))
+
+
 def clip_recent(calendar: DataFrame, limit: int = CALENDAR_DAYS) -> DataFrame:
     """The last ``limit`` days of a calendar."""
-    last = calendar.agg(F.max("date").alias("_last"))
-    return (calendar.join(F.broadcast(last), F.col("date") > F.date_sub("_last", limit), "inner")
-            .drop("_last"))
+    last = F.max("date").over(_all_days())
+    return (calendar.withColumn("_last", last)
+            .where(F.col("date") > F.date_sub("_last", limit)).drop("_last"))
 
 
 def bucketize(calendar: DataFrame) -> DataFrame:
@@ -79,8 +84,8 @@ def bucketize(calendar: DataFrame) -> DataFrame:
 
     The first week is labelled with the first day of the calendar.
     """
-    bounds = calendar.agg(F.min("date").alias("_first"), F.count(F.lit(1)).alias("_span"))
-    spread = calendar.join(F.broadcast(bounds), F.col("date") >= F.col("_first"), "inner")
+    spread = calendar.withColumns({"_first": F.min("date").over(_all_days()),
+                                   "_span": F.count(F.lit(1)).over(_all_days())})
     weekly = F.col("_span") > WEEKLY_SPAN_DAYS
     monday = F.to_date(F.date_trunc("week", "date"))
     label = F.when(weekly, F.greatest(monday, F.col("_first"))).otherwise(F.col("date"))
@@ -117,9 +122,9 @@ def heat_level(count: Column, maximum: Column) -> Column:
 
 
 def heat_levels(calendar: DataFrame) -> DataFrame:
-    top = calendar.agg(F.max("count").alias("_top"))
-    return (calendar.join(F.broadcast(top), F.col("count") <= F.col("_top"), "inner")
-            .select("date", "count", heat_level(F.col("count"), F.col("_top")).alias("level")))
+    top = F.max("count").over(_all_days())
+    return calendar.withColumn("_top", top).select(
+        "date", "count", heat_level(F.col("count"), F.col("_top")).alias("level"))
 
 
 def hour_levels(hours: DataFrame) -> DataFrame:
