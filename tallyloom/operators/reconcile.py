@@ -29,8 +29,8 @@ def bag_split(left: DataFrame, right: DataFrame, key: Sequence[str],
               chunk: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Left rows with the flag ``_consumed``."""
     taken = right.groupBy(*key).agg(F.count(F.lit(1)).alias("_taken"))
-    joined = ordered._join_on(left, taken, list(key))
-    ranked = ordered.rank(joined, key, chunk, order, "_rn")
+    # Ranked before the join, so that the counts per chunk come from the bare scan.
+    ranked = ordered._join_on(ordered.rank(left, key, chunk, order, "_rn"), taken, list(key))
     return (ranked.withColumn("_consumed", F.col("_rn") <= F.coalesce(F.col("_taken"), F.lit(0)))
             .drop("_rn", "_taken"))
 

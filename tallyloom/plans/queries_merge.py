@@ -288,10 +288,13 @@ def segment_stitch(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate", "l_partkey")
     path = F.concat_ws("/", F.lit("s"), F.col("l_orderkey"), F.col("l_linenumber"))
     ranked = ordered.rank(rows, ["l_orderkey"], ["l_linenumber"], ["l_shipdate", "l_partkey"], "_at")
-    lines = ordered.rank(ranked, _LI_KEY, ["l_shipdate"], ["l_partkey"], "_in").select(
-        F.lit("s").alias("store_id"), path.alias("path"), (F.col("_at") - 1).alias("ordinal"), "l_orderkey", "l_linenumber",
-        ((F.col("_in") - 1) * 100).alias("start_offset"), (F.col("_in") * 100).alias("end_offset"))
     stage = Stage.shared(spark)
+    ranked = stage(ranked, "ranked")
+    starts = ranked.groupBy(*_LI_KEY).agg(F.min("_at").alias("_first"))
+    inside = F.col("_at") - F.col("_first")
+    lines = ranked.join(starts, _LI_KEY).select(
+        F.lit("s").alias("store_id"), path.alias("path"), (F.col("_at") - 1).alias("ordinal"), *_LI_KEY,
+        (inside * 100).alias("start_offset"), ((inside + 1) * 100).alias("end_offset"))
     lines = stage(lines, "lines")
     heads = lines.groupBy("store_id", "l_orderkey", "l_linenumber", "path").agg(
         F.min("ordinal").alias("first_ordinal"), F.max("end_offset").alias("size"))
