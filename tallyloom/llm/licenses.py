@@ -77,9 +77,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Document and two hashes of every word; ``ends``: byte ends of the documents in ``data``."""
-    letters = _lower()[data]
+def word_hashes(data: np.ndarray, ends: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Document and two hashes of every word.
+
+    ``ends``: byte ends of the documents in ``data``; ``table``: what each byte counts as, 0 between words.
+    """
+    letters = table[data]
     is_word = letters != 0
     edge = np.zeros(len(letters) + 1, dtype=bool)
     edge[ends] = True
@@ -128,7 +131,8 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset:texts.offset + n + 1]
             data = texts.buffers()[2]
             data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
-            doc, hashes = word_hashes(data[offsets[0]:offsets[-1]], (offsets[1:] - offsets[0]).astype(np.int64))
+            doc, hashes = word_hashes(data[offsets[0]:offsets[-1]], (offsets[1:] - offsets[0]).astype(np.int64),
+                                      _lower())
             words = np.bincount(doc, minlength=n)
             first, grams = gram_hashes(doc, hashes)
             of = doc[first]
@@ -158,7 +162,7 @@ def template_grams(templates: tuple[Template, ...] = TEMPLATES) -> list[tuple]:
     rows = []
     for i, template in enumerate(templates):
         data = np.frombuffer(template.text.encode(), dtype=np.uint8)
-        doc, hashes = word_hashes(data, np.array([len(data)]))
+        doc, hashes = word_hashes(data, np.array([len(data)]), _lower())
         first, grams = gram_hashes(doc, hashes)
         if len(doc) > 64 or len(doc) < K:
             raise ValueError(f"a template has {K} to 64 words: {template.text[:40]}")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bpe, chat, langid, licenses, mixing, quality, sharding, simhash
+from tallyloom.llm import ann, bpe, chat, langid, licenses, lm, mixing, quality, sharding, simhash
 from tallyloom.llm.common import table
 
 #: Parameters of the encoding: the rank file and the pattern that splits texts.
@@ -20,7 +20,9 @@ QUERIES: dict[str, Query] = {
     "op2_byte_bpe": lambda spark, d: bpe.report(table(spark, d, "documents"), RANKS, PATTERN),
     "op3_chat_format": lambda spark, d: chat.report(table(spark, d, "conversations")),
     "op4_mixing": lambda spark, d: mixing.report(table(spark, d, "documents")),
+    "op5_nearest_vectors": lambda spark, d: ann.report(table(spark, d, "embeddings")),
     "op6_license_scan": lambda spark, d: licenses.report(table(spark, d, "documents")),
+    "op7_lm_scoring": lambda spark, d: lm.report(table(spark, d, "documents")),
     "op8_simhash": lambda spark, d: simhash.report(table(spark, d, "documents")),
     "op9_quality_rules": lambda spark, d: quality.report(table(spark, d, "documents")),
     "op10_sharding": lambda spark, d: sharding.report(table(spark, d, "documents")),
