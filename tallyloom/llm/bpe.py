@@ -153,8 +153,13 @@ class Merges:
             if not len(at):
                 continue
             right = after[at]
-            token[at], alive[right], pair[right] = r, False, NONE
             beyond = after[right]
+            # Where the next merge of this rank follows at once, the pair that stands there in between.
+            beside = np.flatnonzero(beyond[:-1] == at[1:])
+            if len(beside):
+                between = self.rank(np.full(len(beside), r), token[at[beside + 1]])
+                early[owner[at[beside[between < r]]]] = True
+            token[at], alive[right], pair[right] = r, False, NONE
             after[at] = beyond
             before[beyond] = at
             touched = before[at]

@@ -35,7 +35,7 @@ CHUNK = 3_000_000
 SEGMENT = 1_000_000
 BLOCK = 64
 #: A document goes if it is nearer to another language than to its own by this much, or near to none.
-MARGIN = 0.15
+MARGIN = 0.25
 LEAST_SCORE = 0.05
 
 

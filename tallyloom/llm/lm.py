@@ -118,7 +118,7 @@ def _deal(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, buckets: int)
     for batch in _chunks(batches):
         doc, word = _words(batch)
         lengths = np.bincount(doc, minlength=batch.num_rows)
-        before = np.append(START, word[:-1])
+        before = np.append(START, word)[:-1]
         before[_runs(doc)] = START
         # How often a word stands in its document.
         order = np.lexsort((doc, word))
