@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm import ann, bpe, chat, langid, licenses, lm, mixing, quality, sharding, simhash
 from tallyloom.llm.common import table
+from tallyloom.llm.oracles import ORACLES  # noqa: F401 (registered with the queries)
 
 #: Parameters of the encoding: the rank file and the pattern that splits texts.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -27,4 +28,3 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": lambda spark, d: quality.report(table(spark, d, "documents")),
     "op10_sharding": lambda spark, d: sharding.report(table(spark, d, "documents")),
 }
-ORACLES: dict[str, str] = {}
