@@ -2,50 +2,45 @@
 
 from __future__ import annotations
 
-import logging
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.schemas import SCHEMAS, Tables, conform, tables, union_all
+from tallyloom.schemas import SCHEMAS, Tables, conform, union_all
 from tallyloom.session import configure
 from tallyloom.sources.lake import Lake, Stage
 from tallyloom.sources.registry import READERS
 
-log = logging.getLogger(__name__)
-
-
-def failed(spark: SparkSession, harness: str) -> Tables:
-    """What a reader that could not even start contributes: a status and a warning."""
-    row = spark.range(1).select(
-        F.lit("*").alias("store_id"), F.lit(harness).alias("harness"), F.lit("unavailable").alias("status"),
-        F.lit(False).alias("tool_calls_available"), F.lit(0).alias("source_files"),
-        F.lit("assessment unavailable").alias("coverage_status"), F.lit("low").alias("coverage_confidence"),
-        F.lit(0).alias("history_only_sessions"), F.lit(0).alias("unmaterialized_sessions"))
-    warning = row.select("store_id", "harness", F.lit("discovery_failed").alias("code"), F.lit(1).alias("n"))
-    return tables(spark, providers=row, warnings=warning)
-
-
 def read_all(spark: SparkSession, lake: Lake, harnesses: Sequence[str] | None = None,
              stage: Stage | None = None) -> Tables:
-    """Union of the readers in registry order; one failure never stops the others."""
+    """Union of the readers in registry order.
+
+    What is wrong with a file or a database is a warning of its store; any other error fails the job, so that a lost
+    machine is never taken for an empty history.
+    """
     configure(spark)
     stage = stage or Stage.shared(spark)
-    parts = []
-    for harness in harnesses or READERS:
-        try:
-            parts.append(READERS[harness](spark, lake, stage))
-        except Exception:
-            log.exception("reader %s failed", harness)
-            parts.append(failed(spark, harness))
-    return union_all(parts)
-
-
-def write_tables(parts: Tables, path: str) -> None:
-    """Parquet per table, partitioned by harness; a rerun replaces its partitions."""
+    return union_all([READERS[harness](spark, lake, stage) for harness in harnesses or READERS])
+
+
+def write_tables(parts: Tables, path: str, harnesses: Sequence[str] | None = None) -> None:
+    """Parquet per table, partitioned by harness. The partitions of all ``harnesses`` are replaced, of which a run may
+    have no rows for some, and no other's. A table is written beside the old one first, then its partitions are moved.
+    """
     for name, df in parts.named().items():
-        (conform(df, name).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("harness").parquet(f"{path}/{name}"))
+        spark = df.sparkSession
+        beside = f"{path}/_new-{uuid.uuid4().hex}"
+        conform(df, name).write.partitionBy("harness").parquet(beside)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(hadoop(f"{path}/{name}"))
+        for harness in harnesses or READERS:
+            old, new = hadoop(f"{path}/{name}/harness={harness}"), hadoop(f"{beside}/harness={harness}")
+            files.delete(old, True)
+            if files.exists(new) and not files.rename(new, old):
+                raise OSError(f"cannot move {new} to {old}")
+        files.delete(hadoop(beside), True)
 
 
 def load_tables(spark: SparkSession, path: str) -> Tables:
@@ -58,5 +53,7 @@ def load_tables(spark: SparkSession, path: str) -> Tables:
 
 def run(spark: SparkSession, lake: Lake, out: str, harnesses: Sequence[str] | None = None) -> Tables:
     """Read, write and load back, so that reports never re-read the histories."""
-    write_tables(read_all(spark, lake, harnesses), out)
+    stage = Stage.shared(spark)
+    write_tables(read_all(spark, lake, harnesses, stage), out, harnesses)
+    stage.drop(spark)
     return load_tables(spark, out)

@@ -14,8 +14,6 @@ from tallyloom.plans.texts import DISPLAY_NAMES, LIMITATIONS, METHODOLOGY, WARNI
 from tallyloom.schemas import Tables
 
 SCHEMA_VERSION = 3
-#: Lists longer than this leave the document and are written as tables only.
-INLINE_ROWS = 50_000
 USAGE_FIELDS = ("available", "exact", "input", "output", "cache_read", "cache_write", "reasoning", "source")
 
 
@@ -27,6 +25,8 @@ class Options:
     observation: str = "disabled"
     #: Ids are de-duplicated per store, or across the fleet as one logical home.
     dedupe_scope: Sequence[str] = metrics.STORE
+    #: Whether the document lists all models and projects; else they are in their tables alone.
+    inline_lists: bool = True
 
 
 def _messages(spark: SparkSession) -> DataFrame:
@@ -139,13 +139,12 @@ def one_row(parts: Sequence[DataFrame]) -> DataFrame:
     return merged.agg(*[F.any_value(c, True).alias(c) for c in merged.columns])
 
 
-def build(tables: Tables, options: Options = Options(), audit: DataFrame | None = None,
-          inline_rows: int = INLINE_ROWS) -> DataFrame:
+def build(tables: Tables, options: Options = Options(), audit: DataFrame | None = None) -> DataFrame:
     """The report as one row.
 
-    ``audit``: the row of :func:`tallyloom.operators.audit.compare`. Model and
-    project lists beyond ``inline_rows`` are left out of the row (NULL); the
-    tables of :func:`models_table` and :func:`projects_table` always hold all.
+    ``audit``: the row of :func:`tallyloom.operators.audit.compare`. The model and
+    project lists are whole, whatever their length, or NULL if ``options`` leaves
+    them to the tables of :func:`models_table` and :func:`projects_table`.
     """
     providers = provider_summary(tables, options)
     cells = activity_table(tables, options)
@@ -171,8 +170,8 @@ def build(tables: Tables, options: Options = Options(), audit: DataFrame | None
         _row(longest, "longest"), projects.agg(F.count(F.lit(1)).alias("projects_n")),
         providers.agg(F.array_sort(F.collect_list(F.struct(*providers.columns))).alias("providers")),
         warnings_table(tables).agg(F.array_sort(F.collect_list(F.struct("harness", "code", "count", "message"))).alias("warnings")),
-        _inline(models, ["harness", -F.col("turns"), "name"], inline_rows, "models"),
-        _inline(projects, [-F.col("sessions"), F.lower("name"), "name"], inline_rows, "projects")]
+        _listed(models, ["harness", -F.col("turns"), "name"], options.inline_lists, "models"),
+        _listed(projects, [-F.col("sessions"), F.lower("name"), "name"], options.inline_lists, "projects")]
     row = one_row(parts)
     r, a = F.col("rhythm_all"), F.col("source_audit")
     return row.select(
@@ -191,24 +190,18 @@ def build(tables: Tables, options: Options = Options(), audit: DataFrame | None
         F.array(*[F.lit(m) for m in METHODOLOGY]).alias("methodology"), "warnings")
 
 
-def _inline(df: DataFrame, order: Sequence, limit: int, name: str) -> DataFrame:
-    """Ordered array of all rows, or NULL when there are more than ``limit``.
-
-    The list is cut at limit + 1 rows before it is collected, so its size is
-    bounded whatever the data; an over-long list is dropped, never shortened.
-    """
+def _listed(df: DataFrame, order: Sequence, wanted: bool, name: str) -> DataFrame:
+    """Ordered array of all rows, or NULL if it isn't wanted."""
     keys = [F.col(o) if isinstance(o, str) else o for o in order]
-    entries = df.orderBy(*keys).limit(limit + 1).select(
-        F.struct(*[k.alias(f"_{i}") for i, k in enumerate(keys)], F.struct(*df.columns).alias("row")).alias("e"))
-    listed = entries.agg(F.collect_list("e").alias("all"))
-    ordered = F.transform(F.array_sort("all"), lambda e: e["row"])
-    return listed.select(F.when(F.size("all") <= limit, ordered).alias(name))
+    entry = F.struct(*[k.alias(f"_{i}") for i, k in enumerate(keys)], F.struct(*df.columns).alias("row"))
+    rows = df if wanted else df.limit(0)
+    listed = rows.agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["row"]).alias(name))
+    return listed if wanted else listed.select(F.when(F.lit(False), F.col(name)).alias(name))
 
 
-def write(tables: Tables, path: str, options: Options = Options(), audit: DataFrame | None = None,
-          inline_rows: int = INLINE_ROWS) -> None:
+def write(tables: Tables, path: str, options: Options = Options(), audit: DataFrame | None = None) -> None:
     """``document`` (one pretty JSON object) and one parquet folder per list."""
-    document = build(tables, options, audit, inline_rows)
+    document = build(tables, options, audit)
     text = F.to_json(F.struct(*document.columns), {"pretty": "true", "ignoreNullFields": "false"})
     document.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/document")
     models_table(tables, options).write.mode("overwrite").partitionBy("harness").parquet(f"{path}/models")

@@ -153,6 +153,7 @@ WARNING_MESSAGES = {
     "unparseable_assistant_content": "Response content that could not be read.",
     "unparseable_owner_prompt": "Prompt content that could not be read.",
     "unparsed_thread_history_database": "A thread-history database is listed but not interpreted.",
+    "unreadable_file": "A file is damaged or breaks off; none of its lines is counted.",
     "unreadable_session_start": "A session start time could not be read.",
     "unvalidated_same_id_rollout_suppressed": "A further rollout of the same id was left out.",
 }

@@ -9,7 +9,7 @@ from tallyloom.operators.metrics import ledger
 from tallyloom.schemas import Tables, usage
 from tallyloom.sources import sqlite
 from tallyloom.sources.common import assemble, attach, complete_sessions, row_ord, store_of, with_prompts_only
-from tallyloom.sources.lake import LAZY, Lake, Stage, list_files, paths_of, records, scan_lines, warning_rows
+from tallyloom.sources.lake import LAZY, Lake, Stage, existing, list_files, records, scan_lines, warning_rows
 
 HARNESS = "antigravity"
 # Limits, bases, labels.
@@ -150,7 +150,7 @@ def normalize(spark: SparkSession, summaries: DataFrame, chunks: DataFrame, tran
 
 def read(spark: SparkSession, lake: Lake, stage: Stage | None = None) -> Tables:
     stage = stage or Stage.shared(spark)
-    paths = paths_of(spark, lake.globs("antigravity"))
+    paths = existing(spark, lake.globs("antigravity"))
 
     def rows(table: str, ddl: str, where: str | None = None) -> DataFrame:
         return sqlite.read_table(spark, paths, table, ddl, where).withColumn("store_id", store_of(lake, F.col("path")))
@@ -178,7 +178,6 @@ def read(spark: SparkSession, lake: Lake, stage: Stage | None = None) -> Tables:
     forced = facts.select("store_id", F.when(~F.col("readable"), "unavailable").when(F.col("unknown"), "unsupported schema")
                           .alias("forced")).where(F.col("forced").isNotNull())
     scripts = list_files(spark, lake, "antigravity_transcripts", "transcript.jsonl")
-    files = spark.createDataFrame([(p,) for p in paths], "path string").select(
-        store_of(lake, F.col("path")).alias("store_id")).unionByName(scripts.select("store_id"))
+    files = list_files(spark, lake, "antigravity").select("store_id").unionByName(scripts.select("store_id"))
     return normalize(spark, summaries, chunks, scan_lines(spark, lake, "antigravity_transcripts", "transcript.jsonl"),
                      files, problems, forced, stage)

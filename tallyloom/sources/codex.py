@@ -11,8 +11,8 @@ from tallyloom.operators import chain, coverage, dedupe, ordered, reconcile
 from tallyloom.schemas import Tables, published_ord, tables, usage
 from tallyloom.sources import sqlite
 from tallyloom.sources.common import SCOPE, store_of
-from tallyloom.sources.lake import (LAZY, Lake, Stage, list_files, paths_of, records, scan_documents,
-                                    scan_lines, sum_warnings, warning_rows)
+from tallyloom.sources.lake import (LAZY, Lake, Stage, existing, list_files, records, scan_documents,
+                                    scan_lines, sum_warnings, unreadable_files, warning_rows)
 
 HARNESS = "codex"
 MAX_RECORD_BYTES = 64 << 20
@@ -448,14 +448,14 @@ def read(spark: SparkSession, lake: Lake, stage: Stage | None = None) -> Tables:
     chosen = selected_files(listing)
     raw = place(scan_lines(spark, lake, "codex_rollouts", "rollout-*")).join(
         chosen.select("store_id", "path"), ["store_id", "path"], "left_semi").drop("packed")
-    threads = sqlite.read_table(spark, paths_of(spark, lake.globs("codex_state")), "threads",
+    threads = sqlite.read_table(spark, existing(spark, lake.globs("codex_state")), "threads",
                                 "id string, rollout_path string, created_at bigint, created_at_ms bigint")
     threads = threads.select(
         store_of(lake, F.col("path")).alias("store_id"), "id", "rollout_path",
         F.concat(F.lit(lake.base.rstrip("/") + "/"), store_of(lake, F.col("path"))).alias("store_root"),
         F.regexp_replace("path", "/[^/]*$", "").alias("database_dir"),
         F.coalesce("created_at_ms", F.col("created_at") * 1000).alias("created_ms"))
-    catalog_files = paths_of(spark, lake.globs("codex_catalog"))
+    catalog_files = existing(spark, lake.globs("codex_catalog"))
     catalog = sqlite.read_table(spark, catalog_files, "local_thread_catalog",
                                 "thread_id string, source_created_at double, host_id string")
     catalog = catalog.withColumn("store_id", store_of(lake, F.col("path")))
@@ -463,12 +463,14 @@ def read(spark: SparkSession, lake: Lake, stage: Stage | None = None) -> Tables:
     index = scan_lines(spark, lake, "codex_index")
     imports = scan_documents(spark, lake, "codex_imports", MAX_RECORD_BYTES)
     unparsed = list_files(spark, lake, "codex_thread_history")
-    extra = [warning_rows(unparsed, {"unparsed_thread_history_database": F.lit(True)}, HARNESS)]
+    unread = unreadable_files(spark, lake, "codex_rollouts", "rollout-*")
+    extra = [warning_rows(unparsed, {"unparsed_thread_history_database": F.lit(True)}, HARNESS),
+             warning_rows(unread, {"unreadable_file": F.lit(True)}, HARNESS)]
     extra += state_paths(threads, listing, chosen, lake.layout["codex_rollouts"])
     for name, tables_needed, code in (
             ("codex_state", ("threads",), "state_index_unavailable"),
             ("codex_catalog", ("local_thread_catalog", "local_thread_catalog_hosts"), "catalog_index_unavailable")):
-        present = sqlite.table_columns(spark, paths_of(spark, lake.globs(name))).groupBy("path").agg(
+        present = sqlite.table_columns(spark, existing(spark, lake.globs(name))).groupBy("path").agg(
             F.size(F.collect_set(F.when(F.col("table_name").isin(*tables_needed), F.col("table_name")))).alias("n"))
         extra.append(warning_rows(present.withColumn("store_id", store_of(lake, F.col("path"))),
                                   {code: F.col("n") < len(tables_needed)}, HARNESS))

@@ -8,7 +8,7 @@ from tallyloom.functions import text, times
 from tallyloom.schemas import Tables
 from tallyloom.sources import sqlite
 from tallyloom.sources.common import assemble, attach, complete_sessions, row_ord, store_of, with_prompts_only
-from tallyloom.sources.lake import LAZY, Lake, Stage, paths_of, warning_rows
+from tallyloom.sources.lake import LAZY, Lake, Stage, existing, list_files, warning_rows
 
 HARNESS = "copilot"
 
@@ -36,7 +36,7 @@ def normalize(spark: SparkSession, sessions: DataFrame, turns: DataFrame, source
 
 def read(spark: SparkSession, lake: Lake, stage: Stage | None = None) -> Tables:
     stage = stage or Stage.shared(spark)
-    paths = paths_of(spark, lake.globs("copilot"))
+    paths = existing(spark, lake.globs("copilot"))
 
     def rows(table: str, ddl: str) -> DataFrame:
         return sqlite.read_table(spark, paths, table, ddl).withColumn("store_id", store_of(lake, F.col("path")))
@@ -52,7 +52,7 @@ def read(spark: SparkSession, lake: Lake, stage: Stage | None = None) -> Tables:
                                     "prompt_metrics_unavailable": known & F.col("no_t")}, HARNESS)
     forced = facts.select("store_id", F.when(~F.col("readable"), "unavailable").when(F.col("no_s"), "unsupported schema")
                           .alias("forced")).where(F.col("forced").isNotNull())
-    files = spark.createDataFrame([(p,) for p in paths], "path string").select(store_of(lake, F.col("path")).alias("store_id"))
+    files = list_files(spark, lake, "copilot").select("store_id")
     return normalize(spark, rows("sessions", "id string, cwd string, created_at string, updated_at string"),
                      rows("turns", "session_id string, turn_index bigint, user_message string, timestamp string"),
                      files, problems, forced, stage)

@@ -10,7 +10,7 @@ from tallyloom.operators.reconcile import missing_rows
 from tallyloom.schemas import Tables
 from tallyloom.sources import sqlite
 from tallyloom.sources.common import assemble, attach, complete_sessions, row_ord, store_of, with_prompts_only
-from tallyloom.sources.lake import LAZY, Lake, Stage, paths_of, warning_rows
+from tallyloom.sources.lake import LAZY, Lake, Stage, existing, list_files, warning_rows
 
 HARNESS = "cursor"
 # Keys and JSON fields of the store.
@@ -153,7 +153,7 @@ def normalize(spark: SparkSession, modern: DataFrame, items: DataFrame, kv: Data
 
 def read(spark: SparkSession, lake: Lake, stage: Stage | None = None) -> Tables:
     stage = stage or Stage.shared(spark)
-    paths = paths_of(spark, lake.globs("cursor"))
+    paths = existing(spark, lake.globs("cursor"))
 
     def rows(table: str, ddl: str, where: str | None = None) -> DataFrame:
         df = sqlite.read_table(spark, paths, table, ddl, where)
@@ -163,7 +163,7 @@ def read(spark: SparkSession, lake: Lake, stage: Stage | None = None) -> Tables:
     keys = ", ".join(f"'{k}'" for k in LEGACY_KEYS)
     items = rows("ItemTable", "key string, value string", f"key IN ({keys})")
     kv = rows("cursorDiskKV", "key string, value string",
-              "substr(key, 1, 13) = 'composerData:' OR substr(key, 1, 9) = 'bubbleId:'")
+              "key >= 'composerData:' AND key < 'composerData;' OR key >= 'bubbleId:' AND key < 'bubbleId;'")
     columns = sqlite.table_columns(spark, paths).withColumn("store_id", store_of(lake, F.col("path")))
 
     def has(table: str, *names: str) -> Column:
@@ -178,5 +178,5 @@ def read(spark: SparkSession, lake: Lake, stage: Stage | None = None) -> Tables:
                                     "composer_metadata_unavailable": no_kv, "prompt_metrics_unavailable": no_kv}, HARNESS)
     forced = facts.select("store_id", F.when(~F.col("readable"), "unavailable").when(unknown, "unsupported schema")
                           .alias("forced")).where(F.col("forced").isNotNull())
-    files = spark.createDataFrame([(p,) for p in paths], "path string").select(store_of(lake, F.col("path")).alias("store_id"))
+    files = list_files(spark, lake, "cursor").select("store_id")
     return normalize(spark, modern, items, kv, files, problems, forced, stage)

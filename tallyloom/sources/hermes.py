@@ -9,7 +9,7 @@ from tallyloom.operators.metrics import ledger
 from tallyloom.schemas import Tables, usage
 from tallyloom.sources import sqlite
 from tallyloom.sources.common import assemble, attach, complete_sessions, row_ord, store_of
-from tallyloom.sources.lake import LAZY, Lake, Stage, paths_of, warning_rows
+from tallyloom.sources.lake import LAZY, Lake, Stage, existing, list_files, warning_rows
 
 HARNESS = "hermes"
 # Columns every supported schema has, and usage sources.
@@ -64,8 +64,7 @@ def normalize(spark: SparkSession, sessions: DataFrame, messages: DataFrame, mod
         F.coalesce(text.project_name(F.col("git_repo_root")), text.project_name(F.col("cwd"))).alias("project"),
         F.coalesce("tool_call_count", F.lit(0)).alias("tool_calls"), text.safe_label(F.col("model"), 100).alias("model"),
         F.coalesce("api_call_count", F.lit(0)).alias("api_calls"), _usage(SOURCE_SESSION).alias("own_usage"),
-        F.lit("session start").alias("activity_basis"), F.col("parent_session_id").isNotNull()
-        & (F.col("parent_session_id") != "").alias("is_child"))
+        F.lit("session start").alias("activity_basis"))
     s = s.withColumn("is_child", F.col("parent_id").isNotNull())
     rows = model_usage.select("store_id", "session_id", text.safe_label(F.col("model"), 100).alias("model"),
                               F.coalesce("api_call_count", F.lit(0)).alias("turns"), _usage(SOURCE_MODEL).alias("usage"))
@@ -110,7 +109,7 @@ def schema_problems(lake: Lake, spark: SparkSession, paths: list[str]) -> tuple[
 
 def read(spark: SparkSession, lake: Lake, stage: Stage | None = None) -> Tables:
     stage = stage or Stage.shared(spark)
-    paths = paths_of(spark, lake.globs("hermes"))
+    paths = existing(spark, lake.globs("hermes"))
     warned, forced = schema_problems(lake, spark, paths)
 
     def rows(table: str, ddl: str, where: str | None = None) -> DataFrame:
@@ -124,5 +123,5 @@ def read(spark: SparkSession, lake: Lake, stage: Stage | None = None) -> Tables:
     messages = rows("messages", "id bigint, session_id string, role string, content string, timestamp double, "
                     "active bigint, _compressed_summary bigint", "role = 'user'")
     model_usage = rows("session_model_usage", f"session_id string, model string, api_call_count bigint, {_TOKEN_DDL}")
-    files = spark.createDataFrame([(p,) for p in paths], "path string").select(store_of(lake, F.col("path")).alias("store_id"))
+    files = list_files(spark, lake, "hermes").select("store_id")
     return normalize(spark, sessions.where(complete), messages, model_usage, files, warned, forced, stage)

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyloom.functions.text import decode_directory
@@ -70,17 +71,6 @@ def existing(spark: SparkSession, globs: Sequence[str]) -> list[str]:
     return found
 
 
-def paths_of(spark: SparkSession, globs: Sequence[str]) -> list[str]:
-    """Concrete files behind globs: one entry per store, for the database source."""
-    jvm = spark._jvm
-    out: list[str] = []
-    for glob in globs:
-        path = jvm.org.apache.hadoop.fs.Path(glob)
-        for status in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []:
-            out.append(re.sub("^file:/*", "/", status.getPath().toString()))
-    return sorted(out)
-
-
 def _plain_path(c: Column) -> Column:
     return F.regexp_replace(decode_directory(c), "^file:/*", "/")
 
@@ -93,24 +83,106 @@ def _located(df: DataFrame, lake: Lake, name: str) -> DataFrame:
                            "rel": F.regexp_extract("path", pattern, 2)})
 
 
+def pin_layout(spark: SparkSession) -> None:
+    """Fix the splits of files: without this they follow the number of executors alive when a scan is planned, and two
+    scans of one run could number the same line differently."""
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+
+
+def _packed(spark: SparkSession, roots: Sequence[str], glob: str) -> DataFrame:
+    """path, mtime, content of the ``.zst`` files below the roots."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(roots)
+    return files.where(F.col("path").endswith(".zst")).select(
+        F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("modificationTime").alias("mtime"), "content")
+
+
+def _is_sound(content: bytes) -> bool:
+    """Whether every zstd frame of a file can be read to its end, without keeping what it holds."""
+    import zstandard
+
+    step = 1 << 20
+    try:
+        while content:
+            frame = zstandard.ZstdDecompressor().decompressobj()
+            for at in range(0, len(content), step):
+                frame.decompress(content[at:at + step])
+                if frame.eof:
+                    content = frame.unused_data + content[at + step:]
+                    break
+            else:
+                return False
+    except zstandard.ZstdError:
+        return False
+    return True
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All lines of every sound file, a few thousand at a time; no line of any other."""
+    import zstandard
+
+    for batch in batches:
+        for path, mtime, content in zip(*(batch.column(c) for c in ("path", "mtime", "content")), strict=True):
+            content, n = content.as_py(), 0
+            if not _is_sound(content):
+                continue
+            rest = b""
+            with zstandard.ZstdDecompressor().stream_reader(content, read_across_frames=True) as stream:
+                while block := stream.read(1 << 20):
+                    *lines, rest = (rest + block).split(b"\n")
+                    yield _line_batch(path, mtime, n, lines, batch.schema)
+                    n += len(lines)
+            if rest:
+                yield _line_batch(path, mtime, n, [rest], batch.schema)
+
+
+def _line_batch(path, mtime, n: int, lines: list[bytes], schema: pa.Schema) -> pa.RecordBatch:
+    count = len(lines)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([path.as_py()] * count, pa.string()), pa.array([mtime.as_py()] * count, schema.field("mtime").type),
+         pa.array(range(n, n + count), pa.int64()), pa.array([x.decode("utf-8", "replace") for x in lines], pa.string())],
+        ["path", "mtime", "n", "line"])
+
+
+def _unsound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bad = [p.as_py() for p, c in zip(batch.column("path"), batch.column("content"), strict=True)
+               if not _is_sound(c.as_py())]
+        yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], ["path"])
+
+
 def scan_lines(spark: SparkSession, lake: Lake, name: str, glob: str = "*") -> DataFrame:
     """One row per line of every file below the named roots, blank lines included.
 
     ``line_key`` orders lines inside a file: split start, then position in the
-    split. It is fixed here, before any shuffle. ``.zst`` files decompress in the
-    reader and stay one split.
+    split. It is fixed here, before any shuffle. A ``.zst`` file is one split; one
+    that cannot be read to its end has no lines and is named by :func:`unreadable_files`.
     """
     roots = existing(spark, lake.globs(name))
     if not roots:
         return spark.createDataFrame([], RAW)
-    raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-           .option("lineSep", "\n").text(roots)
-           .select(F.col("value").alias("line"), _plain_path(F.col("_metadata.file_path")).alias("path"),
-                   F.col("_metadata.file_block_start").alias("_block"),
-                   F.col("_metadata.file_modification_time").alias("mtime"))
-           .withColumn("line_key", F.struct("path", F.col("_block").alias("block"),
-                                            F.monotonically_increasing_id().alias("n"))))
-    return _located(raw, lake, name).select("store_id", "path", "rel", "line_key", "line", "mtime")
+    pin_layout(spark)
+    plain = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+             .option("lineSep", "\n").text(roots).where(~F.col("_metadata.file_name").endswith(".zst"))
+             .select(F.col("value").alias("line"), _plain_path(F.col("_metadata.file_path")).alias("path"),
+                     F.col("_metadata.file_block_start").alias("_block"),
+                     F.col("_metadata.file_modification_time").alias("mtime"))
+             .withColumn("line_key", F.struct("path", F.col("_block").alias("block"),
+                                              F.monotonically_increasing_id().alias("n"))))
+    packed = _packed(spark, roots, glob).mapInArrow(_unpack, "path string, mtime timestamp, n bigint, line string") \
+        .withColumn("line_key", F.struct("path", F.lit(0).cast("bigint").alias("block"), "n"))
+    columns = ["line", "path", "mtime", "line_key"]
+    return _located(plain.select(columns).unionByName(packed.select(columns)), lake, name).select(
+        "store_id", "path", "rel", "line_key", "line", "mtime")
+
+
+def unreadable_files(spark: SparkSession, lake: Lake, name: str, glob: str = "*") -> DataFrame:
+    """(store_id, path) of the ``.zst`` files below the named roots that break off or are damaged."""
+    roots = existing(spark, lake.globs(name))
+    if not roots:
+        return spark.createDataFrame([], "store_id string, path string")
+    bad = _packed(spark, roots, glob).select("path", "content").mapInArrow(_unsound, "path string")
+    return _located(bad, lake, name).select("store_id", "path")
 
 
 def scan_documents(spark: SparkSession, lake: Lake, name: str, max_bytes: int, glob: str = "*") -> DataFrame:
@@ -193,5 +265,11 @@ class Stage:
         df.write.mode("overwrite").parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
+    def drop(self, spark: SparkSession) -> None:
+        """Delete what was staged, once everything made from it is written."""
+        if self.folder is not None:
+            path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 LAZY = Stage(None)

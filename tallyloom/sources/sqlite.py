@@ -1,105 +1,64 @@
 """Tables of many landed SQLite snapshots as one DataFrame.
 
-A batch data source: one partition per database file, and several rowid ranges
-per file once it is large. Files are opened read-only and immutable; they must be
-reachable under the same path on every executor.
+Spark lists the files and reads them as bytes, so they may lie in any file system
+Spark can read, many small databases share a task, and no path passes the driver.
+A database is opened in memory and checked first: a damaged one gives no rows at
+all and is reported as unreadable, so a table holds all of a database or nothing.
 """
 
 from __future__ import annotations
 
-import os
 import sqlite3
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-SPLIT_BYTES = 256 << 20
 BATCH_ROWS = 8192
+#: A database is one value of the binary file source; this is the limit of that source.
+MAX_BYTES = (1 << 31) - 1
 COLUMNS_SCHEMA = "path string, table_name string, column_name string, readable boolean"
 
 
-def _open(path: str) -> sqlite3.Connection:
-    con = sqlite3.connect(f"file:{path}?mode=ro&immutable=1", uri=True)
+def open_snapshot(content: bytes) -> sqlite3.Connection | None:
+    """A checked in-memory copy, or None for what is not a sound database."""
+    con = sqlite3.connect(":memory:")
     con.text_factory = lambda raw: raw.decode("utf-8", "replace")
-    return con
+    if content[18:20] == b"\x02\x02":
+        # A snapshot has no log beside it: read it as a database without one.
+        content = content[:18] + b"\x01\x01" + content[20:]
+    try:
+        con.deserialize(content)
+        sound = con.execute("PRAGMA quick_check(1)").fetchone() == ("ok",)
+    except sqlite3.Error:
+        sound = False
+    if sound and content:
+        return con
+    con.close()
+    return None
 
 
 def _quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
-class _Slice(InputPartition):
-    def __init__(self, path: str, low: int | None = None, high: int | None = None):
-        self.path, self.low, self.high = path, low, high
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, schema: StructType, options):
-        self.schema = schema
-        self.paths = [p for p in options.get("paths", "").split("\n") if p]
-        self.table, self.where = options.get("table"), options.get("where")
-        self.split = int(options.get("splitBytes", SPLIT_BYTES))
-
-    def partitions(self) -> Sequence[InputPartition]:
-        out: list[InputPartition] = []
-        for path in self.paths:
-            out += self._slices(path)
-        return out or [_Slice("")]
-
-    def _slices(self, path: str) -> list[InputPartition]:
-        try:
-            pieces = os.path.getsize(path) // self.split + 1
-            if pieces > 1 and self.table:
-                con = _open(path)
-                low, high = con.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone()
+def _snapshots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, sqlite3.Connection | None]]:
+    for batch in batches:
+        for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+            # Files beyond the limit come without content.
+            con = open_snapshot(content.as_py()) if content.is_valid else None
+            yield path.as_py(), con
+            if con is not None:
                 con.close()
-                if low is not None:
-                    step = (high - low) // pieces + 1
-                    return [_Slice(path, at, at + step) for at in range(low, high + 1, step)]
-        except (OSError, sqlite3.Error):
-            pass  # the columns scan reports what cannot be read
-        return [_Slice(path)]
-
-    def read(self, partition: _Slice) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
-        if self.table is None:
-            yield from self._columns(partition.path)
-            return
-        try:
-            con = _open(partition.path)
-            have = [r[1] for r in con.execute(f"PRAGMA table_info({_quoted(self.table)})")]
-        except sqlite3.Error:
-            return
-        if not have:
-            return
-        wanted = [f.name for f in self.schema.fields if f.name not in ("path", "columns", "row_n")]
-        picks = [_quoted(c) if c in have else "NULL" for c in wanted]
-        # A column used as a filter may be missing in an older schema.
-        tests = [f"({self.where})"] if self.where else []
-        if partition.low is not None:
-            tests.append(f"rowid >= {partition.low} AND rowid < {partition.high}")
-        clause = f" WHERE {' AND '.join(tests)}" if tests else ""
-        try:
-            cursor = con.execute(f"SELECT {', '.join(picks)} FROM {_quoted(self.table)}{clause}")
-            at = partition.low or 0
-            while rows := cursor.fetchmany(BATCH_ROWS):
-                yield self._batch(partition.path, have, wanted, rows, at)
-                at += len(rows)
-        except sqlite3.Error:
-            return
-        finally:
-            con.close()
 
-    def _batch(self, path, have, wanted, rows, at) -> pa.RecordBatch:
-        from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(self.schema)
+def _table_rows(table: str, where: str | None, schema: pa.Schema):
+    wanted = [f.name for f in schema if f.name not in ("path", "columns", "row_n")]
+
+    def batch_of(path: str, have: list[str], rows: list[tuple], at: int) -> pa.RecordBatch:
         columns = []
-        for field in arrow:
+        for field in schema:
             if field.name == "path":
                 values = [path] * len(rows)
             elif field.name == "columns":
@@ -110,20 +69,28 @@ class _Reader(DataSourceReader):
                 index = wanted.index(field.name)
                 values = [_coerce(r[index], field.type) for r in rows]
             columns.append(pa.array(values, type=field.type))
-        return pa.RecordBatch.from_arrays(columns, schema=arrow)
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, con in _snapshots(batches):
+            if con is None:
+                continue  # table_columns reports it
+            have = [r[1] for r in con.execute(f"PRAGMA table_info({_quoted(table)})")]
+            if not have:
+                continue
+            picks = ", ".join(_quoted(c) if c in have else "NULL" for c in wanted)
+            clause = f" WHERE {where}" if where else ""
+            try:
+                cursor = con.execute(f"SELECT {picks} FROM {_quoted(table)}{clause}")
+            except sqlite3.OperationalError:
+                continue  # an older schema without the column that is filtered by
+            at = 0
+            # An error from here on is not an unreadable snapshot; it fails the job.
+            while rows := cursor.fetchmany(BATCH_ROWS):
+                yield batch_of(path, have, rows, at)
+                at += len(rows)
 
-    def _columns(self, path: str) -> Iterator[tuple]:
-        try:
-            con = _open(path)
-            # sqlite_master fails on a file that is not a database.
-            names = [r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type IN ('table', 'view')")]
-            for name in names:
-                for info in con.execute(f"PRAGMA table_info({_quoted(name)})"):
-                    yield path, name, info[1], True
-            con.close()
-            yield path, None, None, True
-        except sqlite3.Error:
-            yield path, None, None, False
+    return read
 
 
 def _coerce(value, kind: pa.DataType):
@@ -135,36 +102,53 @@ def _coerce(value, kind: pa.DataType):
         return value.encode() if isinstance(value, str) else bytes(value) if isinstance(value, bytes) else str(value).encode()
     try:
         return int(value) if pa.types.is_integer(kind) else float(value)
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, OverflowError):
         return None
 
 
-class SqliteSnapshots(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "sqlite_snapshots"
+def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for path, con in _snapshots(batches):
+        rows = [(path, None, None, con is not None)]
+        if con is not None:
+            names = [r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type IN ('table', 'view')")]
+            rows += [(path, name, info[1], True) for name in names
+                     for info in con.execute(f"PRAGMA table_info({_quoted(name)})")]
+        paths, tables, columns, readable = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(paths, pa.string()), pa.array(tables, pa.string()), pa.array(columns, pa.string()),
+             pa.array(readable, pa.bool_())], ["path", "table_name", "column_name", "readable"])
 
-    def schema(self) -> str:
-        return COLUMNS_SCHEMA
 
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(schema, self.options)
+def _contents(spark: SparkSession, roots: Sequence[str], max_bytes: int) -> DataFrame:
+    if not roots:
+        return spark.createDataFrame([], "path string, content binary")
+    files = spark.read.format("binaryFile").load(list(roots))
+    fits = files.where(F.col("length") <= max_bytes).select("path", "content")
+    large = files.where(F.col("length") > max_bytes).select("path", F.lit(None).cast("binary").alias("content"))
+    return fits.unionByName(large).withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
 
 
-def read_table(spark: SparkSession, paths: Sequence[str], table: str, columns: str,
-               where: str | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Rows of one table of every file: path, present ``columns``, row_n, and the asked columns.
+def rows_of(contents: DataFrame, table: str, columns: str, where: str | None = None) -> DataFrame:
+    """Rows of one table of every sound database: path, present ``columns``, row_n, and the asked columns.
 
-    A column missing from a file's schema reads as NULL.
+    ``contents``: path, content. A column missing from a file's schema reads as NULL.
     """
-    spark.dataSource.register(SqliteSnapshots)
-    reader = (spark.read.format("sqlite_snapshots")
-              .schema(f"path string, columns array<string>, row_n bigint, {columns}")
-              .option("paths", "\n".join(paths)).option("table", table).option("splitBytes", str(split_bytes)))
-    return (reader.option("where", where) if where else reader).load()
+    ddl = f"path string, columns array<string>, row_n bigint, {columns}"
+    schema = to_arrow_schema(contents.sparkSession.createDataFrame([], ddl).schema)
+    return contents.select("path", "content").mapInArrow(_table_rows(table, where, schema), ddl)
+
+
+def columns_of(contents: DataFrame) -> DataFrame:
+    """(path, table_name, column_name, readable) of every file; the names are null in one row for each file."""
+    return contents.select("path", "content").mapInArrow(_columns, COLUMNS_SCHEMA)
+
+
+def read_table(spark: SparkSession, roots: Sequence[str], table: str, columns: str,
+               where: str | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """:func:`rows_of` the files behind ``roots`` (files or globs that match something)."""
+    return rows_of(_contents(spark, roots, max_bytes), table, columns, where)
 
 
-def table_columns(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(path, table_name, column_name, readable) of every file."""
-    spark.dataSource.register(SqliteSnapshots)
-    return spark.read.format("sqlite_snapshots").option("paths", "\n".join(paths)).load()
+def table_columns(spark: SparkSession, roots: Sequence[str], max_bytes: int = MAX_BYTES) -> DataFrame:
+    """:func:`columns_of` the files behind ``roots``."""
+    return columns_of(_contents(spark, roots, max_bytes))

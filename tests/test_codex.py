@@ -167,3 +167,25 @@ def test_history(read):
     assert p.earliest_local_evidence.isoformat() == "2017-07-14T02:40:00.500000"
     ids = sorted(r[0] for r in rows(t.prompts, "event_id") if r[0])
     assert ids == ["history:history-only:2"]
+
+
+def test_one_damaged_archive_among_good_ones(spark, store, lake):
+    """A cut file and a file with a changed byte have no lines and are counted; the other one is read whole."""
+    import zstandard
+
+    from tallyloom.sources.lake import scan_lines, unreadable_files
+
+    lines = "".join(f'{{"type":"note","number":{i},"filler":"{"ab" * (i % 50)}"}}\n' for i in range(5000)).encode()
+    good = zstandard.ZstdCompressor(write_checksum=True).compress(lines)
+    bad = bytearray(good)
+    bad[len(bad) // 2] ^= 255
+    for name, data in (("rollout-good", good), ("rollout-cut", good[:-40]), ("rollout-bad", bytes(bad)), ("rollout-two", good + good)):
+        with open(store.path(f"codex/sessions/{name}.jsonl.zst"), "wb") as handle:
+            handle.write(data)
+    store.lines("codex/sessions/rollout-plain.jsonl", "{}")
+    got = scan_lines(spark, lake, "codex_rollouts", "rollout-*").groupBy("rel").count().collect()
+    assert {r.rel: r["count"] for r in got} == {
+        "rollout-good.jsonl.zst": 5000, "rollout-two.jsonl.zst": 10000, "rollout-plain.jsonl": 1}
+    bad = unreadable_files(spark, lake, "codex_rollouts", "rollout-*").collect()
+    assert sorted(r.path.rsplit("/", 1)[1] for r in bad) == ["rollout-bad.jsonl.zst", "rollout-cut.jsonl.zst"]
+    assert codex.read(spark, lake).warnings.where("code = 'unreadable_file'").collect()[0].n == 2

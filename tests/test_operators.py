@@ -171,18 +171,67 @@ def test_views_edges(spark):
     assert views.dominant_bucket(views.bucketize(views.dense_calendar(days))).collect()[0].label == date(2024, 1, 3)
 
 
-def test_sqlite_splits_large_tables(spark, tmp_path):
+def make_database(path, n=3000):
     import sqlite3
 
-    path = str(tmp_path / "big.db")
     con = sqlite3.connect(path)
+    con.execute("PRAGMA journal_mode=WAL")
     con.execute("CREATE TABLE t (a INTEGER, b TEXT)")
-    con.executemany("INSERT INTO t VALUES (?, ?)", [(i, "x" * 200) for i in range(1000)])
+    con.executemany("INSERT INTO t VALUES (?, ?)", [(i, "x" * 200) for i in range(n)])
     con.commit()
     con.close()
-    df = sqlite.read_table(spark, [path], "t", "a bigint, missing string", split_bytes=64 << 10)
-    assert df.rdd.getNumPartitions() > 1
-    assert df.agg(F.count("a"), F.sum("a"), F.count("missing")).collect()[0][:] == (1000, 499500, 0)
-    assert rows(df.limit(1), "columns") == [(["a", "b"],)]
-    filtered = sqlite.read_table(spark, [path], "t", "a bigint", "a < 10")
-    assert filtered.count() == 10 and sqlite.read_table(spark, [path], "nope", "a bigint").count() == 0
+    return str(path)
+
+
+def test_sqlite_reads_whole_tables(spark, tmp_path):
+    path = make_database(tmp_path / "50% off?#1.db")
+    df = sqlite.read_table(spark, [str(tmp_path)], "t", "a bigint, missing string")
+    assert df.agg(F.count("a"), F.sum("a"), F.count("missing")).collect()[0][:] == (3000, 4498500, 0)
+    assert rows(df.select("path", "columns").distinct(), "path", "columns") == [(path, ["a", "b"])]
+    filtered = sqlite.read_table(spark, [str(tmp_path)], "t", "a bigint", "a < 10")
+    assert filtered.count() == 10 and sqlite.read_table(spark, [str(tmp_path)], "nope", "a bigint").count() == 0
+    assert sqlite.read_table(spark, [str(tmp_path)], "t", "a bigint", "older = 1").count() == 0
+    assert sqlite.read_table(spark, [], "t", "a bigint").count() == 0
+
+
+def test_sqlite_gives_all_of_a_database_or_nothing(spark, tmp_path):
+    sound, damaged = make_database(tmp_path / "sound.db"), make_database(tmp_path / "damaged.db")
+    (tmp_path / "text.db").write_text("not a database")
+    (tmp_path / "empty.db").write_bytes(b"")
+    with open(damaged, "r+b") as handle:
+        handle.seek(4096 * 40)
+        handle.write(b"\xff" * 4096 * 3)
+    assert rows(sqlite.read_table(spark, [str(tmp_path)], "t", "a bigint").groupBy("path").count()) == [(sound, 3000)]
+    told = sqlite.table_columns(spark, [str(tmp_path)]).where("table_name IS NULL")
+    assert {r.path.rsplit("/", 1)[1]: r.readable for r in told.collect()} == {
+        "sound.db": True, "damaged.db": False, "text.db": False}  # Spark lists no empty files
+    capped = sqlite.table_columns(spark, [sound], max_bytes=1000)
+    assert rows(capped, "readable") == [(False,)]
+
+
+def test_sqlite_through_another_file_system(spark, tmp_path):
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.lake.link./in", f"file://{tmp_path}")
+    make_database(tmp_path / "a.db", 10)
+    assert sqlite.read_table(spark, ["viewfs://lake/in/*.db"], "t", "a bigint").count() == 10
+
+
+def test_copilot_store_with_a_damaged_page_is_unavailable(spark, store, lake):
+    from tallyloom.sources import copilot
+
+    for name in ("alice", "bob"):
+        store.store = name
+        store.database(
+            "copilot/session-store.db", "CREATE TABLE sessions (id, cwd, created_at, updated_at)",
+            "CREATE TABLE turns (session_id, turn_index, user_message, timestamp)",
+            "INSERT INTO sessions VALUES ('s', '/w/app', '2026-04-01T08:00:00Z', '2026-04-01T08:30:00Z')",
+            "WITH RECURSIVE n(i) AS (SELECT 0 UNION ALL SELECT i + 1 FROM n WHERE i < 2999) INSERT INTO turns "
+            "SELECT 's', i, hex(zeroblob(60)), '2026-04-01T08:10:00Z' FROM n")
+    with open(store.path("copilot/session-store.db"), "r+b") as handle:
+        handle.seek(4096 * 30)
+        handle.write(b"\xff" * 4096)
+    tables = copilot.read(spark, lake)
+    status = {r.store_id: r.status for r in tables.providers.collect()}
+    assert status == {"alice": "supported", "bob": "unavailable"}
+    assert rows(tables.prompts.groupBy("store_id").count()) == [("alice", 3000)]
+    assert [(r.store_id, r.code) for r in tables.warnings.collect()] == [("bob", "sqlite_snapshot_failed")]

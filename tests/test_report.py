@@ -74,9 +74,9 @@ def test_dedupe_zone_and_style(spark):
     assert len(doc["providers"]) == 12 and doc["providers"][0]["id"] == "aider"
     assert next(p for p in doc["providers"] if p["id"] == "grok")["status"] == "not found"
     assert doc["coverage"]["label"] == "Jan 1 — Jan 1, 2026"
-    # a list that is too long leaves the document whole
-    cut = report.build(t, inline_rows=2).collect()[0]
-    assert cut.projects is None and len(cut.models) == 1
+    # lists are whole, or left out by choice
+    bare = report.build(t, report.Options(inline_lists=False)).collect()[0]
+    assert bare.projects is None and bare.models is None
 
 
 def test_unanchored_donates_only_events(spark):
@@ -123,14 +123,22 @@ def test_end_to_end(spark, lake, tmp_path):
     assert ingest.load_tables(spark, str(tmp_path / "tables")).sessions.count() == 2
 
 
-def test_one_failing_reader_is_reported(spark, lake, monkeypatch):
+def test_a_harness_that_disappears_leaves_no_rows(spark, lake, tmp_path):
+    out = str(tmp_path / "tables")
+    ingest.run(spark, lake, out, ["grok", "aider"])
+    gone = ingest.run(spark, Lake(str(tmp_path / "nothing")), out, ["aider"])
+    for name, df in gone.named().items():
+        assert not df.where("harness = 'aider'").take(1), name
+    assert gone.sessions.where("harness = 'grok'").count() > 0
+    assert not [n for n in os.listdir(out) if n.startswith("_new")]
+
+
+def test_an_error_outside_the_files_fails_the_job(spark, lake, monkeypatch):
     def boom(*_):
         raise OSError("unreachable")
     monkeypatch.setitem(ingest.READERS, "grok", boom)
-    t = ingest.read_all(spark, lake, ["grok", "aider"])
-    got = {r.harness: (r.status, r.coverage_status) for r in t.providers.collect()}
-    assert got["grok"] == ("unavailable", "assessment unavailable") and got["aider"][0] == "supported"
-    assert ("grok", "discovery_failed", 1) in rows(t.warnings, "harness", "code", "n")
+    with pytest.raises(OSError):
+        ingest.read_all(spark, lake, ["grok", "aider"])
 
 
 def test_published_tables_carry_no_text(spark):
