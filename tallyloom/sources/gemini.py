@@ -84,8 +84,11 @@ def parse_log(raw: DataFrame) -> DataFrame:
         ~F.schema_of_variant(F.try_parse_json("line")).startswith("OBJECT"), F.lit(True))
     v = F.col("r")
     patch = v["$patch"]
+    # A null target is a rewind to no message, which clears the log.
+    rewound = v["$rewindTo"].isNotNull() | (F.contains(F.col("line"), F.lit("$rewindTo")) & F.coalesce(
+        F.array_contains(F.json_object_keys("line"), "$rewindTo"), F.lit(False)))
     kind = (F.when(F.col("oversize"), "oversize").when(malformed, "malformed").when(broken, "ignored")
-             .when(v["$rewindTo"].isNotNull(), "rewind").when(patch.isNotNull(), "patch")
+             .when(rewound, "rewind").when(patch.isNotNull(), "patch")
              .when(v["$set"].isNotNull(), "set").when(v["id"].isNotNull(), F.when(v["id"] != "", "put").otherwise("ignored"))
              .when(v["sessionId"].isNotNull(), "header").otherwise("ignored"))
     none = F.lit(None).cast("string")
@@ -103,7 +106,7 @@ def parse_log(raw: DataFrame) -> DataFrame:
     moved = F.when(F.size(F.coalesce(patch["orderIds"], F.array().cast("array<string>"))) > 0,
                    F.array(op("order", none, patch["orderIds"], blank))).otherwise(F.slice(F.array(op("order", none, no_ids, blank)), 1, 0))
     ops = (F.when(F.col("what") == "put", F.array(op("put", v["id"], no_ids, _message(v).cast(replay.MESSAGE))))
-            .when(F.col("what") == "rewind", F.array(op("rewind", v["$rewindTo"], no_ids, blank)))
+            .when(F.col("what") == "rewind", F.array(op("rewind", F.coalesce(v["$rewindTo"], F.lit("")), no_ids, blank)))
             .when(F.col("what") == "patch", F.concat(patches, removed, moved)))
     meta = F.when(F.col("what") == "header", F.struct(v["startTime"], v["lastUpdated"], v["kind"])).when(
         F.col("what") == "set", F.struct(v["$set"]["startTime"], v["$set"]["lastUpdated"], v["$set"]["kind"]))
