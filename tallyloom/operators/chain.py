@@ -94,12 +94,3 @@ def stitch(segments: DataFrame, lines: DataFrame,
     return (joined.withColumn("stitched", stitched)
             .withColumn("cut_ordinal", F.when(stitched, F.col("cut_ordinal")))
             .withColumn("cut_offset", F.when(stitched, F.col("cut_offset"))).drop("_all_ok"))
-
-
-def keep_before_cut(lines: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Lines of cut segments up to the cut; all lines of the other files."""
-    edges = cuts.where(F.col("cut_offset").isNotNull()).select("store_id", "path", "cut_ordinal", "cut_offset")
-    joined = lines.join(edges, ["store_id", "path"], "left")
-    inside = ((F.col("ordinal").isNull() | (F.col("ordinal") < F.col("cut_ordinal")))
-              & (F.col("start_offset") < F.col("cut_offset")))
-    return joined.where(F.col("cut_offset").isNull() | inside).drop("cut_ordinal", "cut_offset")

@@ -43,12 +43,6 @@ def coalesce_sessions(files: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     return merged.withColumn("activity_at", F.col("started_at"))
 
 
-def union_prompts(prompts: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """Prompts of all copies, one per event id; ``copies`` counts the repeats."""
-    payload = [c for c in prompts.columns if c not in (*key, "event_id")]
-    return keep_first(prompts, key, "event_id", ["line_key"], payload)
-
-
 def merge_calls(calls: DataFrame, key: Sequence[str] = KEY) -> tuple[DataFrame, DataFrame]:
     """Calls of all copies, one per response id, and the conflict counts per key.
 

@@ -117,7 +117,11 @@ def project_ranking(sessions: DataFrame) -> DataFrame:
 
 
 def order_projects(projects: DataFrame) -> DataFrame:
-    return projects.orderBy(F.desc("sessions"), F.lower("name"), F.col("name"))
+    """``projects`` with ``position``: most sessions first, then by name without case."""
+    from tallyloom.operators.views import order_by_metric
+
+    named = projects.withColumn("_name", F.concat_ws("\x00", F.lower("name"), F.col("name")))
+    return order_by_metric(named, "sessions", "_name").drop("_name")
 
 
 def longest_session(sessions: DataFrame) -> DataFrame:

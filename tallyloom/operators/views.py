@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyloom.session import ensure_checkpoint_dir
+
 # View limits.
 PRIMARY_ROWS = 10
 CALENDAR_DAYS = 1100
@@ -14,15 +16,19 @@ INCOMPLETE_STATUSES = ("known incomplete", "coverage assessment incomplete", "as
 
 
 def rank_in_group(df: DataFrame, group: Sequence[str], value: str, name: str) -> DataFrame:
-    """Rank by value, then name, restarting per group.
+    """Rank by value (largest first, unknown last), then name, restarting per group.
 
-    Equal values form the chunks, so one group with many names is spread over
-    its distinct values and the buckets of its names.
+    Rows are range-partitioned by all three, so many equal values or names with a
+    common head are spread like any others; one small row per partition and group
+    carries the count on. The partitioning is kept, so that both passes see it.
     """
     from tallyloom.operators import ordered
 
-    chunked = (df.withColumn("_down", -F.col(value)).withColumn("_head", F.substring(name, 1, 2)))
-    return ordered.rank(chunked, group, ["_down", "_head"], [name], "rank").drop("_down", "_head")
+    ensure_checkpoint_dir(df.sparkSession)
+    keys = [*[F.col(g).asc_nulls_first() for g in group], F.col(value).desc_nulls_last(), F.col(name).asc_nulls_first()]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()).checkpoint()
+    return ordered.rank(placed, group, ["_part"], keys[len(group):], "rank").drop("_part")
 
 
 def share_of_max(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
@@ -143,8 +149,9 @@ def leader(providers: DataFrame) -> DataFrame:
 
 
 def order_by_metric(df: DataFrame, metric: str, key: str) -> DataFrame:
-    """Largest first, unknown last, input order on ties."""
-    return df.orderBy(F.desc_nulls_last(metric), F.col(key))
+    """``df`` with ``position``: largest metric first, unknown last, ties by key."""
+    ranked = rank_in_group(df.withColumn("_all", F.lit(0)), ["_all"], metric, key)
+    return ranked.withColumnRenamed("rank", "position").drop("_all")
 
 
 def is_sparse(sessions: Column, active_days: Column) -> Column:

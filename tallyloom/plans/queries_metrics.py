@@ -123,10 +123,7 @@ def model_share(spark, sf_dir):
 @query("project_ranking", EV + """
 SELECT name, sessions, row_number() OVER (ORDER BY sessions DESC, lower(name), name) AS position FROM projects""")
 def project_ranking(spark, sf_dir):
-    projects = metrics.project_ranking(ev_sessions(spark, sf_dir)).withColumn("_all", F.lit(0))
-    projects = projects.withColumn("_name", F.concat_ws("\x00", F.lower("name"), F.col("name")))
-    ranked = views.rank_in_group(projects, ["_all"], "sessions", "_name")
-    return ranked.select("name", "sessions", F.col("rank").alias("position"))
+    return metrics.order_projects(metrics.project_ranking(ev_sessions(spark, sf_dir)))
 
 
 @query("projects_top10_rest", EV + """
@@ -277,9 +274,7 @@ SELECT harness, prompts, row_number() OVER (ORDER BY prompts DESC NULLS LAST, ha
 def metric_order(spark, sf_dir):
     prompts = distinct_prompts(spark, sf_dir).select(
         "harness", F.when(F.col("harness") != "cursor", F.col("prompts")).alias("prompts"))
-    ranked = prompts.withColumn("_all", F.lit(0)).withColumn("_v", F.coalesce("prompts", F.lit(-1)))
-    return views.rank_in_group(ranked, ["_all"], "_v", "harness").select(
-        "harness", "prompts", F.col("rank").alias("position"))
+    return views.order_by_metric(prompts, "prompts", "harness")
 
 
 @query("sparse_record", EV + """

@@ -49,7 +49,7 @@ def normalize(raw: DataFrame, source_files: DataFrame, zone: str = "UTC", stage:
     placed = ordered.running_sum(lines, key, ["_block"], ["line_key"], F.col("header").cast("bigint"), "session_no")
     placed = ordered.running_sum(placed, key, ["_block"], ["line_key"], (~F.col("user")).cast("bigint"), "island")
     placed = stage(placed.where(F.col("session_no") > 0).withColumn(
-        "session_id", F.concat_ws("-", F.substring(F.sha2("_path", 256), 1, 16), F.col("session_no").cast("string"))),
+        "session_id", F.concat_ws("-", F.sha2("_path", 256), F.col("session_no").cast("string"))),
         "aider_placed")
     islands = placed.where("user").groupBy("store_id", "_path", "session_id", "island").agg(
         F.min("line_key").alias("line_key"), F.sum("words").alias("words"),

@@ -57,7 +57,7 @@ def normalize(docs: DataFrame, index: DataFrame, stage: Stage = LAZY) -> Tables:
         times.from_millis(F.col("e.dateCreated").try_cast("bigint")).alias("at")).where(F.col("at").isNotNull())
     created = created.groupBy("store_id", "session_id").agg(F.max_by("at", "i").alias("created"))
     rows = events.where(~F.col("oversize") & ~F.col("bad")).join(created, ["store_id", "session_id"], "left")
-    key = F.concat_ws("\x1f", "session_id", F.xxhash64("path").cast("string"))
+    key = F.concat_ws("\x1f", "session_id", F.sha2("path", 256))
     found = F.col("created").isNotNull()
     sessions = complete_sessions(rows.select(
         "store_id", "session_id", key.alias("session_key"), "project", "usage", "model",

@@ -167,7 +167,7 @@ def normalize(raw: DataFrame, docs: DataFrame | None, source_files: DataFrame, s
     ended = F.greatest("head_end", "last_at")
     sessions = stage(complete_sessions(joined.select(
         "store_id", "path", "session_id", "is_child", "parent_id", "project",
-        F.concat_ws("\x1f", "session_id", F.xxhash64("path").cast("string")).alias("session_key"),
+        F.concat_ws("\x1f", "session_id", F.sha2("path", 256)).alias("session_key"),
         F.least("head_start", "first_at").alias("started_at"), ended.alias("ended_at"), ended.alias("activity_at"),
         F.lit(BASIS).alias("activity_basis"), F.coalesce("tool_calls", F.lit(0)).alias("tool_calls"),
         F.coalesce("usage", usage("", False)).alias("usage"), F.least("head_start", "first_at").isNull().alias("time_unavailable")),
