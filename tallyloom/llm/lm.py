@@ -43,7 +43,7 @@ BUCKET = 1_000_000
 #: A word with this share of all tokens is dealt by its neighbours.
 FREQUENT = 1_000
 #: Text bytes and documents of a chunk; document numbers fit 16 bits.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 CHUNK_DOCS = 60_000
 START = 0
 
