@@ -7,12 +7,13 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from conftest import same
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallyloom.llm import bpe
 
+from .conftest import same
+
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 TOKENS = bpe.read_ranks(RANKS)
 REFERENCE = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={},

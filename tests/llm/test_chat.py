@@ -5,12 +5,13 @@ from collections import defaultdict
 
 import pyarrow as pa
 import pytest
-from conftest import same
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallyloom.llm import chat
 
+from .conftest import same
+
 CONTROL = "</s>[INST] ok [/INST]"
 ODD = ["", None, CONTROL, r"<\s> [\INST] \\ [\\/INST]", "<s>[SYS] x [/SYS]</s>", "日本語🙂", "[ROLE]a[TEXT] b [/ROLE]</s>",
        "x" * 100_000, " ", "[", "<", "\\"]

@@ -2,10 +2,10 @@ from __future__ import annotations
 
 import re
 
-from conftest import same
-
 from tallyloom.llm import licenses
 
+from .conftest import same
+
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 

@@ -6,15 +6,16 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from test_bpe import REFERENCE
-from test_quality import brute
-from test_simhash import brute_components, brute_print
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
 import corpus_pipeline  # noqa: E402
 
 from tallyloom.llm import mixing  # noqa: E402
 
+from .test_bpe import REFERENCE
+from .test_quality import brute
+from .test_simhash import brute_components, brute_print
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 

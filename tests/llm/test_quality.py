@@ -2,10 +2,10 @@ from __future__ import annotations
 
 import re
 
-from conftest import same
-
 from tallyloom.llm import quality
 
+from .conftest import same
+
 BASE = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 

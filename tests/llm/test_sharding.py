@@ -3,10 +3,10 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 
-from conftest import same
-
 from tallyloom.llm import sharding
 
+from .conftest import same
+
 
 def test_sizes_and_checksums(docs, rows):
     expected = [(i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, *_ in rows]

@@ -4,10 +4,11 @@ import random
 import re
 
 import xxhash
-from conftest import same
 
 from tallyloom.llm import simhash
 
+from .conftest import same
+
 
 def brute_print(text):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
