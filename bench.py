@@ -21,7 +21,8 @@ HEADLINE = (
     "project_ranking", "daily_activity", "longest_streak", "heat_levels", "history_bag_minus", "unmaterialized_refs",
     "copy_coalesce", "copied_calls", "update_merge", "update_transitions", "cumulative_final", "segment_stitch",
     "digest_dedupe", "manifest_digest", "content_fingerprint", "claude_owner_prompts", "grok_ingest", "hermes_ingest",
-    "copilot_ingest",
+    "copilot_ingest", "claude_ingest", "codex_ingest", "cursor_ingest", "gemini_replay", "antigravity_ingest",
+    "sqlite_scan",
 )
 
 
