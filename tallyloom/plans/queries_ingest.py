@@ -7,7 +7,7 @@ on them, and the oracle states the expected figures from the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.operators import metrics
 from tallyloom.plans.bindings import EV, events, table
@@ -24,10 +24,10 @@ def _iso(c: str) -> Column:
     return F.date_format(c, _ISO)
 
 
-def _line(path: Column, n: Column, record: Column, rel: Column | None = None) -> list[Column]:
-    """Columns of one raw line."""
+def _line(path: Column, n: Column, record: Column, rel: Column | None = None, block: Column | None = None) -> list[Column]:
+    """Columns of one raw line; ``block``: start of the split that holds it."""
     return [F.lit("s").alias("store_id"), path.alias("path"), (rel if rel is not None else path).alias("rel"),
-            F.struct(path.alias("path"), F.lit(0).cast("bigint").alias("block"), n.cast("bigint").alias("n"))
+            F.struct(path.alias("path"), (F.lit(0) if block is None else block).cast("bigint").alias("block"), n.cast("bigint").alias("n"))
             .cast(LINE_KEY).alias("line_key"), record.alias("line"), F.timestamp_seconds(F.lit(_MTIME_SECONDS)).alias("mtime")]
 
 
@@ -220,22 +220,22 @@ SELECT conv_id, count(*) AS prompts, CAST(sum(w) AS BIGINT) AS words, CAST(sum(c
   SELECT conv_id, island, sum(words) AS w, sum(length(text)) + count(*) - 1 AS ch FROM c WHERE role = 'user' GROUP BY ALL)
 GROUP BY conv_id""")
 def aider_ingest(spark, sf_dir):
-    """Ten logs; a conversation is a chat, its user turns are marked lines."""
+    """Ten logs; a conversation is a chat and a split of its log, its user turns are marked lines."""
     turns = table(spark, sf_dir, "conversations")
-    path = F.concat(F.lit("/lake/s/aider/repo"), F.col("conv_id") % 10, F.lit("/aider.chat.history.md"))
-    position = (F.col("conv_id") * 1000 + F.col("turn") + 1) * 100_000
+    conv = F.col("conv_id")
+    path = F.concat(F.lit("/lake/s/aider/repo"), conv % 10, F.lit("/aider.chat.history.md"))
     lines = turns.select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n", -1)).alias("i", "l"))
     body = F.when(F.col("role") == "user", F.concat(F.lit("#### "), "l", F.lit("  "))).otherwise(F.concat(F.lit("> "), "l"))
-    raw = lines.select(*_line(path, position + F.col("i"), body)).unionByName(
-        turns.select("conv_id").distinct().select(*_line(path, F.col("conv_id") * 100_000_000, F.concat(
-            F.lit("# aider chat started at 2026-01-01 "), F.date_format(F.timestamp_seconds(F.col("conv_id") % 86400), "HH:mm:ss")))))
+    position = F.shiftleft(F.col("turn") + 1, 32) + F.col("i")
+    start = F.timestamp_seconds(F.lit(1767225600) + conv)
+    convs = turns.select("conv_id").distinct()
+    raw = lines.select(*_line(path, position, body, block=conv)).unionByName(convs.select(*_line(
+        path, F.lit(0), F.concat(F.lit("# aider chat started at "), F.date_format(start, "yyyy-MM-dd HH:mm:ss")), block=conv)))
     raw = raw.withColumn("rel", F.regexp_extract("path", "aider/(.*)$", 1))
     placed = aider.normalize(raw, _files(raw), stage=Stage.shared(spark))
-    # Sessions carry no conversation id; starts are unique inside a log below 86,400 chats.
-    starts = turns.select("conv_id").distinct().select(
-        "conv_id", F.timestamp_seconds(F.lit(1767225600) + F.col("conv_id") % 86400).alias("started_at"),
-        F.concat(F.lit("repo"), F.col("conv_id") % 10).alias("project"))
-    return _by_session(placed).join(starts, ["started_at", "project"]).select("conv_id", "prompts", "words", "characters")
+    # Sessions carry no conversation id, but every chat starts at a second of its own.
+    starts = convs.select("conv_id", start.alias("started_at"))
+    return _by_session(placed).join(starts, "started_at").select("conv_id", "prompts", "words", "characters")
 
 
 def _gemini_raw(spark, sf_dir) -> DataFrame:
@@ -349,51 +349,56 @@ def hermes_ingest(spark, sf_dir):
     model_usage = ev.where(F.col("event_type") == "purchase").select(
         F.lit("s").alias("store_id"), "session_id", F.concat(F.lit("m"), F.col("k") % 5).alias("model"),
         F.lit(1).alias("api_call_count"), F.col("k").alias("input_tokens"), *[zero[c].alias(c) for c in hermes.TOKENS[1:]])
-    t = hermes.normalize(spark, sessions, messages, model_usage, sessions.select("store_id").limit(1),
+    t = hermes.normalize(spark, sessions, messages, model_usage, sessions.select("store_id").distinct(),
         stage=Stage.shared(spark))
     return _by_session(t).select("session_id", F.coalesce("prompts", F.lit(0)).alias("prompts"), F.col("usage.input").alias("input"))
 
 
 @query("cursor_ingest", _EVK + """
-SELECT sid AS session_id, user_id % 7 = 3 AS is_child, count(*) AS prompts, CAST(sum(k % 7) AS BIGINT) AS words FROM e
-WHERE event_type = 'view' AND k % 8 <> 0 AND user_id % 9 <> 2 GROUP BY sid, user_id""")
+SELECT sid AS session_id, user_id % 6 <> 5 AND user_id % 9 <> 2 AND user_id % 7 = 3 AS is_child, count(*) AS prompts, CAST(sum(k % 7) AS BIGINT) AS words FROM e
+WHERE event_type = 'view' AND k % 8 <> 0 AND (user_id % 9 <> 2 OR user_id % 6 = 5 OR user_id % 2 = 0) GROUP BY sid, user_id""")
 def cursor_ingest(spark, sf_dir):
-    """Every eighth view is display-only in the canonical header list; some composers are drafts."""
+    """Every eighth view is display-only in the canonical header list; some composers are drafts. The older
+    list has some that the table lacks, and fills in for drafts."""
     ev = events(spark, sf_dir).where(F.col("event_type").isin("view", "click"))
     at = F.unix_millis("ts")
     heads = ev.groupBy("session_id", "user_id").agg(
         F.min(at).alias("at"), F.collect_list(F.struct(
             F.concat(F.lit("b"), "event_id").alias("bubbleId"), F.when(F.col("event_type") == "view", 1).otherwise(2).alias("type"),
             (F.col("k") % 8 == 0).alias("isDisplayOnly"))).alias("list"))
-    modern = heads.select(
+    modern = heads.where(F.col("user_id") % 6 != 5).select(
         F.lit("s").alias("store_id"), F.col("session_id").alias("composerId"), F.col("at").alias("createdAt"),
         F.lit(0).cast("bigint").alias("lastUpdatedAt"), F.when(F.col("user_id") % 7 == 3, 1).otherwise(0).cast("bigint").alias("isSubagent"),
         _json(isDraft=F.col("user_id") % 9 == 2).alias("value"), F.lit(0).cast("bigint").alias("row_n"))
-    items = modern.select("store_id", F.lit("none").alias("key"), F.lit("{}").alias("value")).limit(0)
+    listed = (F.col("user_id") % 6 == 5) | (F.col("user_id") % 2 == 0)
+    items = heads.where(listed).groupBy("user_id").agg(F.collect_list(F.struct(
+        F.col("session_id").alias("composerId"), F.col("at").alias("createdAt"))).alias("all")).select(
+        F.lit("s").alias("store_id"), F.lit(cursor.LEGACY_KEYS[0]).alias("key"), _json(allComposers=F.col("all")).alias("value"))
     data = heads.select(F.lit("s").alias("store_id"), F.concat(F.lit("composerData:"), "session_id").alias("key"),
                         _json(fullConversationHeadersOnly=F.col("list")).alias("value"), F.lit(0).cast("bigint").alias("row_n"))
     bubbles = ev.select(F.lit("s").alias("store_id"), F.concat_ws(":", F.lit("bubbleId"), "session_id", F.concat(F.lit("b"), "event_id")).alias("key"),
                         _json(type=F.when(F.col("event_type") == "view", 1).otherwise(2), createdAt=at,
                               text=F.concat_ws(" ", F.array_repeat(F.lit("w"), F.col("k") % 7))).alias("value"),
                         F.col("event_id").alias("row_n"))
-    t = cursor.normalize(spark, modern, items, data.unionByName(bubbles), modern.select("store_id").limit(1),
+    t = cursor.normalize(spark, modern, items, data.unionByName(bubbles), modern.select("store_id").distinct(),
         stage=Stage.shared(spark))
     return _by_session(t).select("session_id", "is_child", "prompts", "words")
 
 
 @query("copilot_ingest", _EVK + """
-SELECT sid AS session_id, count(*) AS prompts, epoch_us(max(ts)) AS ended FROM e WHERE event_type IN ('view', 'click') GROUP BY sid""")
+SELECT sid AS session_id, count(*) AS prompts, CAST(sum(k % 7) AS BIGINT) AS words, epoch_us(max(ts)) AS ended
+FROM e WHERE event_type IN ('view', 'click') GROUP BY sid""")
 def copilot_ingest(spark, sf_dir):
     ev = events(spark, sf_dir)
     sessions = ev.groupBy("session_id").agg(F.min("ts").alias("ts")).select(
         F.lit("s").alias("store_id"), F.col("session_id").alias("id"), F.lit("/w/app").alias("cwd"),
         _iso("ts").alias("created_at"), F.lit("").alias("updated_at"))
     turns = ev.where(F.col("event_type").isin("view", "click")).select(
-        F.lit("s").alias("store_id"), "session_id", F.col("event_id").alias("turn_index"), F.lit("hello there").alias("user_message"),
+        F.lit("s").alias("store_id"), "session_id", F.col("event_id").alias("turn_index"), F.concat_ws(" ", F.array_repeat(F.lit("w"), F.col("k") % 7)).alias("user_message"),
         _iso("ts").alias("timestamp"))
-    t = copilot.normalize(spark, sessions, turns, sessions.select("store_id").limit(1),
+    t = copilot.normalize(spark, sessions, turns, sessions.select("store_id").distinct(),
         stage=Stage.shared(spark))
-    return _by_session(t).select("session_id", "prompts", F.unix_micros("ended_at").alias("ended"))
+    return _by_session(t).select("session_id", "prompts", "words", F.unix_micros("ended_at").alias("ended"))
 
 
 @query("antigravity_ingest", f"""
@@ -402,12 +407,13 @@ FROM conversations WHERE role = 'user'""")
 def antigravity_ingest(spark, sf_dir):
     """User turns of a conversation joined into one indexed body, cut back by byte offsets."""
     turns = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    packed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("all"))
-    sizes = F.transform("all", lambda x: F.octet_length(x["text"]).cast("bigint"))
-    marks = F.transform("all", lambda x, i: F.array(x["turn"].cast("bigint"), F.aggregate(
-        F.slice(F.col("sizes"), F.lit(1), i), F.lit(0).cast("bigint"), lambda a, b: a + b)))
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    placed = turns.withColumn("start", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).cast("bigint"))
+    # A body is one value, as long as one conversation.
+    packed = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text", "start"))).alias("all"))
+    marks = F.transform("all", lambda x: F.array(x["turn"].cast("bigint"), x["start"]))
     sid = F.concat(F.lit("c"), F.col("conv_id"))
-    chunks = packed.withColumn("sizes", sizes).select(
+    chunks = packed.select(
         F.lit("s").alias("store_id"), sid.alias("conversation_id"), F.to_json(marks).alias("user_step_byte_offsets"),
         F.array_join(F.transform("all", lambda x: x["text"]), "").cast("binary").alias("user_body"), F.lit(0).cast("bigint").alias("row_n"))
     summaries = packed.select(
@@ -415,6 +421,6 @@ def antigravity_ingest(spark, sf_dir):
         F.lit('["file:///w/app"]').alias("workspace_uris"), F.lit("").alias("parent_conversation_id"), F.lit(0).alias("nesting_depth"),
         F.lit("").alias("last_user_input_time"), F.lit(-1).alias("last_user_input_step_index"))
     none = spark.createDataFrame([], f"store_id string, path string, rel string, line_key {LINE_KEY}, line string, mtime timestamp")
-    t = antigravity.normalize(spark, summaries, chunks, none, summaries.select("store_id").limit(1),
+    t = antigravity.normalize(spark, summaries, chunks, none, summaries.select("store_id").distinct(),
         stage=Stage.shared(spark))
     return t.prompts.select("session_id", F.split("event_id", "#")[1].cast("bigint").alias("turn"), "words", "characters")

@@ -56,7 +56,10 @@ class Lake:
     layout: Mapping[str, Sequence[str]] = field(default_factory=lambda: DEFAULT_LAYOUT)
 
     def globs(self, name: str) -> list[str]:
-        return [f"{self.base.rstrip('/')}/*/{rel}" for rel in self.layout.get(name, ())]
+        """One glob per root; a root named twice or inside another one is read once."""
+        roots = list(dict.fromkeys(self.layout.get(name, ())))
+        outer = [r for r in roots if not any(r.startswith(f"{other}/") for other in roots)]
+        return [f"{self.base.rstrip('/')}/*/{rel}" for rel in outer]
 
 
 def existing(spark: SparkSession, globs: Sequence[str]) -> list[str]:

@@ -133,6 +133,15 @@ def test_a_harness_that_disappears_leaves_no_rows(spark, lake, tmp_path):
     assert not [n for n in os.listdir(out) if n.startswith("_new")]
 
 
+def test_overlapping_roots_are_read_once(spark, store):
+    from tallyloom.sources.lake import list_files, scan_lines
+
+    store.lines("claude/projects/a/one.jsonl", "{}", "{}")
+    twice = Lake(store.base, {"claude_projects": ("claude/projects", "claude/projects/a", "claude/projects", "claude/other")})
+    assert scan_lines(spark, twice, "claude_projects").count() == 2
+    assert [r.rel for r in list_files(spark, twice, "claude_projects").collect()] == ["a/one.jsonl"]
+
+
 def test_an_error_outside_the_files_fails_the_job(spark, lake, monkeypatch):
     def boom(*_):
         raise OSError("unreachable")
