@@ -11,6 +11,7 @@ from tallyloom.sources.common import assemble, attach, complete_sessions, with_p
 from tallyloom.sources.lake import LAZY, Lake, Stage, list_files, records, scan_lines, warning_rows
 
 HARNESS = "aider"
+#: Fixed values of the original tool, in force if the job asks for them (lake.byte_limit).
 MAX_LINE_BYTES = 4 << 20
 # Line grammar of the log.
 START_PREFIX = "# aider chat started at "

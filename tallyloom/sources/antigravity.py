@@ -9,10 +9,11 @@ from tallyloom.operators.metrics import ledger
 from tallyloom.schemas import Tables, usage
 from tallyloom.sources import sqlite
 from tallyloom.sources.common import assemble, attach, complete_sessions, row_ord, store_of, with_prompts_only
-from tallyloom.sources.lake import LAZY, Lake, Stage, existing, list_files, records, scan_lines, warning_rows
+from tallyloom.sources.lake import LAZY, Lake, Stage, byte_limit, existing, list_files, records, scan_lines, warning_rows
 
 HARNESS = "antigravity"
 # Limits, bases, labels.
+#: Fixed values of the original tool, in force if the job asks for them (lake.byte_limit).
 MAX_CHUNK_BYTES = 8 << 20
 MAX_LINE_BYTES = 8 << 20
 BASIS_INDEX = "conversation last-modified time"
@@ -63,7 +64,7 @@ def prompt_chunks(chunks: DataFrame) -> DataFrame:
     sized = parsed.withColumn("marks", F.when(F.col("blank"), F.array().cast(
         "array<struct<step:bigint,i:int,offset:bigint>>")).otherwise(marks))
     # Size is counted in characters, as the index stores it.
-    oversize = F.length(F.col("body").cast("string")) > MAX_CHUNK_BYTES
+    oversize = F.length(F.col("body").cast("string")) > byte_limit(chunks.sparkSession, MAX_CHUNK_BYTES)
     fits = offsets_fit(F.col("marks"), F.octet_length("body"))
     state = (F.when(oversize, "oversize").when(F.col("marks").isNull(), "malformed")
               .when(~fits & (F.size("marks") > 0), "unfit").otherwise("ok"))

@@ -15,6 +15,7 @@ from tallyloom.sources.lake import (LAZY, Lake, Stage, list_files, records, scan
 HARNESS = "claude"
 SCOPE = ["store_id", "harness"]
 # Limits, labels and the synthetic-turn marker of the source.
+#: Fixed values of the original tool, in force if the job asks for them (lake.byte_limit).
 MAX_RECORD_BYTES = 64 << 20
 SYNTHETIC_MODEL = "<synthetic>"
 BASIS_RECORD = "physical session record"

@@ -15,6 +15,7 @@ from tallyloom.sources.lake import (LAZY, Lake, Stage, existing, list_files, rec
                                     scan_lines, sum_warnings, unreadable_files, warning_rows)
 
 HARNESS = "codex"
+#: Fixed values of the original tool, in force if the job asks for them (lake.byte_limit).
 MAX_RECORD_BYTES = 64 << 20
 # Prefixes of injected text, tool-call item types, part types, labels.
 INJECTED_PREFIXES = ("<environment_context>", "<codex_internal_context ", "<permissions instructions>",

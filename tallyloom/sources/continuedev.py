@@ -11,6 +11,7 @@ from tallyloom.sources.lake import LAZY, Lake, Stage, scan_documents, warning_ro
 
 HARNESS = "continue"
 INDEX_NAME = "sessions.json"
+#: Fixed values of the original tool, in force if the job asks for them (lake.byte_limit).
 MAX_SESSION_BYTES = 64 << 20
 MAX_INDEX_BYTES = 16 << 20
 BASIS = "session creation time"

@@ -13,6 +13,7 @@ from tallyloom.sources.common import assemble, attach, complete_sessions, with_p
 from tallyloom.sources.lake import LAZY, Lake, Stage, list_files, records, scan_documents, scan_lines, warning_rows
 
 HARNESS = "gemini"
+#: Fixed values of the original tool, in force if the job asks for them (lake.byte_limit).
 MAX_LINE_BYTES = 16 << 20
 MAX_FILE_BYTES = 128 << 20
 BASIS = "session message timestamps"

@@ -11,6 +11,7 @@ from tallyloom.sources.common import assemble, attach, complete_sessions
 from tallyloom.sources.lake import LAZY, Lake, Stage, list_files, records, scan_lines, warning_rows
 
 HARNESS = "grok"
+#: Fixed values of the original tool, in force if the job asks for them (lake.byte_limit).
 MAX_LINE_BYTES = 1 << 20
 
 

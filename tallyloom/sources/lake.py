@@ -50,6 +50,20 @@ DEFAULT_LAYOUT: Mapping[str, tuple[str, ...]] = {
 }
 
 
+#: Longest value that the engine's own sources hand out.
+ENGINE_BYTES = (1 << 31) - 1
+
+
+def byte_limit(spark: SparkSession, reference: int) -> int:
+    """Longest line or document that is read; longer ones are dropped and counted.
+
+    A job sets ``tallyloom.byteLimits``: ``none`` (the default: only what the engine itself can hold), ``reference``
+    (the limit of the source at hand in the original tool), or a number of bytes for all sources.
+    """
+    chosen = spark.conf.get("tallyloom.byteLimits", "none")
+    return {"none": ENGINE_BYTES, "reference": reference}.get(chosen) or int(chosen)
+
+
 @dataclass(frozen=True)
 class Lake:
     base: str
@@ -189,7 +203,8 @@ def unreadable_files(spark: SparkSession, lake: Lake, name: str, glob: str = "*"
 
 
 def scan_documents(spark: SparkSession, lake: Lake, name: str, max_bytes: int, glob: str = "*") -> DataFrame:
-    """One row per file: ``doc`` is NULL and ``oversize`` set beyond the limit."""
+    """One row per file: ``doc`` is NULL and ``oversize`` set beyond :func:`byte_limit` of ``max_bytes``."""
+    max_bytes = byte_limit(spark, max_bytes)
     roots = existing(spark, lake.globs(name))
     if not roots:
         return spark.createDataFrame([], LISTING + ", doc string, oversize boolean")
@@ -218,11 +233,11 @@ def list_files(spark: SparkSession, lake: Lake, name: str, glob: str = "*") -> D
 
 
 def records(raw: DataFrame, max_bytes: int) -> DataFrame:
-    """Non-empty lines without their carriage return, ``oversize`` flagged."""
+    """Non-empty lines without their carriage return; ``oversize`` beyond :func:`byte_limit` of ``max_bytes``."""
     text = F.when(F.col("line").endswith("\r"),
                   F.expr("substring(line, 1, length(line) - 1)")).otherwise(F.col("line"))
     trimmed = raw.withColumn("line", text).where(F.length("line") > 0)
-    oversize = F.octet_length("line") > max_bytes
+    oversize = F.octet_length("line") > byte_limit(raw.sparkSession, max_bytes)
     return trimmed.withColumn("oversize", oversize).withColumn(
         "line", F.when(~F.col("oversize"), F.col("line")))
 

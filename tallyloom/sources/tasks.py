@@ -11,6 +11,7 @@ from tallyloom.sources.common import assemble, attach, complete_sessions, row_or
 from tallyloom.sources.lake import LAZY, Lake, Stage, scan_documents, warning_rows
 
 MESSAGES, METADATA = "ui_messages.json", "task_metadata.json"
+#: Fixed values of the original tool, in force if the job asks for them (lake.byte_limit).
 MAX_MESSAGES_BYTES = 128 << 20
 MAX_METADATA_BYTES = 8 << 20
 BASIS = "task message timestamps"

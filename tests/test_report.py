@@ -133,6 +133,26 @@ def test_a_harness_that_disappears_leaves_no_rows(spark, lake, tmp_path):
     assert not [n for n in os.listdir(out) if n.startswith("_new")]
 
 
+def test_byte_limits_are_a_choice(spark, store):
+    from tallyloom.sources import grok
+    from tallyloom.sources.lake import byte_limit
+
+    store.lines("grok/sessions/a/prompt_history.jsonl", {"session_id": "long", "prompt": "y" * (1 << 20)}, {"session_id": "short", "prompt": "y"})
+
+    def read():
+        t = grok.read(spark, Lake(store.base))
+        return t.prompts.count(), {r.code: r.n for r in t.warnings.collect()}
+
+    assert read() == (2, {})
+    spark.conf.set("tallyloom.byteLimits", "reference")
+    try:
+        assert read() == (1, {"oversize_prompt_record": 1})
+        spark.conf.set("tallyloom.byteLimits", "77")
+        assert byte_limit(spark, 5) == 77
+    finally:
+        spark.conf.unset("tallyloom.byteLimits")
+
+
 def test_overlapping_roots_are_read_once(spark, store):
     from tallyloom.sources.lake import list_files, scan_lines
 
