@@ -29,8 +29,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-CHUNK = 24 << 20
-KEEP = 1_500_000
+CHUNK = 8 << 20
+KEEP = 400_000
 NONE = np.int32(np.iinfo(np.int32).max)
 
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"

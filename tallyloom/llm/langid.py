@@ -31,8 +31,8 @@ FOLDS = 5
 MAX_LANGUAGES = 10_000
 UNKNOWN = "und"
 #: Characters handled at once, and characters of a segment of a long text.
-CHUNK = 3_000_000
-SEGMENT = 1_000_000
+CHUNK = 800_000
+SEGMENT = 400_000
 BLOCK = 64
 #: A document goes if it is nearer to another language than to its own by this much, or near to none.
 MARGIN = 0.25
@@ -73,18 +73,19 @@ class Grams:
     def count(self, texts: list[str], owners: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The letters of each distinct n-gram (rows of code points), and for each n-gram occurrence its row and owner."""
         coded = [np.frombuffer(f" {t.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in texts]
-        owner = np.repeat(np.array(owners, dtype=np.int64), [len(c) for c in coded])
+        owner = np.repeat(np.array(owners, dtype=np.int32), [len(c) for c in coded])
         codes = np.concatenate(coded) if coded else np.zeros(0, dtype=np.uint32)
         codes = np.where(self.letter[codes], codes, np.uint32(0))
         seen = np.zeros(0x110000, dtype=bool)
         seen[codes] = True
         seen[0] = True
         alphabet = np.flatnonzero(seen)
-        small = np.zeros(0x110000, dtype=np.int64)
+        small = np.zeros(0x110000, dtype=np.int32)
         small[alphabet] = np.arange(len(alphabet))
         letters, n, size = small[codes], self.gram, len(alphabet)
         count = max(0, len(letters) - n + 1)
-        key, inside = np.zeros(count, dtype=np.int64), np.ones(count, dtype=bool)
+        wide = np.int32 if size ** n < 1 << 31 else np.int64
+        key, inside = np.zeros(count, dtype=wide), np.ones(count, dtype=bool)
         for k in range(n):
             here = letters[k:k + count]
             key = key * size + here
@@ -140,7 +141,7 @@ def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             g = len(letters)
             if not g:
                 continue
-            counts = np.bincount(owner * g + row, minlength=len(names) * g).reshape(len(names), g)
+            counts = np.bincount(owner * np.int64(g) + row, minlength=len(names) * g).reshape(len(names), g)
             total = counts.astype(np.float64) @ grams.vectors(letters).astype(np.float64)
             for i in np.flatnonzero(counts.sum(axis=1)).tolist():
                 sums[names[i]] = sums.get(names[i], 0) + np.rint(total[i]).astype(np.int64)
