@@ -14,6 +14,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Rows of a few KB: a batch on its way to Python takes some MB, in the JVM and in the worker.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
