@@ -21,16 +21,17 @@ HEADLINE = (
     "project_ranking", "daily_activity", "longest_streak", "heat_levels", "history_bag_minus", "unmaterialized_refs",
     "copy_coalesce", "copied_calls", "update_merge", "update_transitions", "cumulative_final", "segment_stitch",
     "digest_dedupe", "manifest_digest", "content_fingerprint", "claude_owner_prompts", "grok_ingest", "hermes_ingest",
-    "copilot_ingest", "claude_ingest", "codex_ingest", "cursor_ingest", "gemini_replay", "antigravity_ingest",
-    "sqlite_scan",
+    "copilot_ingest", "sqlite_scan",
 )
+#: The largest readers take long; one run each, without a warm-up.
+READERS = ("claude_ingest", "codex_ingest")
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
-    names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
+    names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE + READERS)).split(",")
     spark = build_session(f"local[{cpus}]", cpus, **{"spark.ui.enabled": "false", "spark.driver.memory": "12g",
                                                      "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
@@ -38,7 +39,7 @@ def main() -> None:
     seconds: dict[str, float] = {}
     for name in names:
         timings = []
-        for _ in range(runs + 1):
+        for _ in range(1 if name in READERS else runs + 1):
             started = time.perf_counter()
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             timings.append(time.perf_counter() - started)
