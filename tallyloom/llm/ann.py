@@ -9,8 +9,9 @@ bound reaches the k-th best lower bound (or the k-th best cosine so far) survive
 precision from the original vectors, and heaps keep the k best per query over the tiles of one join key. A window over
 those few rows merges the keys. No true neighbour can be lost, so recall is 1.
 
-Of equal vectors in a block only the k + 1 smallest ids can ever be among a query's nearest; the others are left out
-before the product, which keeps large groups of copies cheap and changes nothing.
+Of equal vectors in a block only k rows of an id, and of these the 2 k with the smallest ids, can ever be among a query's
+nearest, since at most k of them have the query's own id; the others are left out before the product, which keeps large
+groups of copies cheap and changes nothing.
 
 Queries are split into groups of about ``GROUP``; each candidate block is sent to every group, each query block to every
 part (a scan task's number modulo the shuffle partitions), so a task's work is bounded by its two sides. With few
@@ -114,13 +115,18 @@ class Side:
         self.length = np.linalg.norm(rounded, axis=1) * self.scale
 
     def _few_copies(self, raw: np.ndarray, copies: int) -> np.ndarray:
-        """Rows left if of equal vectors only those with the smallest ids stay."""
+        """Rows left if of equal vectors ``copies`` rows of an id stay, and of these twice as many with the smallest ids."""
         rows = np.ascontiguousarray(raw).view(np.dtype((np.void, raw.shape[1] * 8))).ravel()
         _, group = np.unique(rows, return_inverse=True)
         order = np.lexsort((self.ids, group))
+        # Runs of one vector and id.
+        new = np.diff(group[order], prepend=-1) != 0
+        new[1:] |= np.diff(self.ids[order]) != 0
+        at = np.arange(len(order))
+        order = order[at - np.maximum.accumulate(np.where(new, at, 0)) < copies]
         sorted_group = group[order]
         first = np.searchsorted(sorted_group, sorted_group, side="left")
-        return np.sort(order[np.arange(len(order)) - first < copies])
+        return np.sort(order[np.arange(len(order)) - first < 2 * copies])
 
 
 def cosines(a: Side, i: np.ndarray, b: Side, j: np.ndarray) -> np.ndarray:
@@ -191,7 +197,7 @@ def _tiles(k: int):
                     queries = Side(q_ids, batch.column("q_data")[row].as_py(), dim)
                     state[q_ids] = (queries, [[] for _ in queries.ids])
                 if c_ids != candidate:
-                    candidate, side = c_ids, Side(c_ids, batch.column("data")[row].as_py(), dim, k + 1)
+                    candidate, side = c_ids, Side(c_ids, batch.column("data")[row].as_py(), dim, k)
                 queries, best = state[q_ids]
                 tile(queries, side, k, best)
         yield from flush()

@@ -67,6 +67,14 @@ def test_copies_and_ties(spark):
     compare(spark, [(i, v) for i, v in rows])
 
 
+@pytest.mark.parametrize("repeats", [5, 6, 40])
+def test_query_id_repeated_among_copies(spark, repeats):
+    same = [1.0, 2.0, 3.0, 4.0]
+    rows = [(0, same)] * repeats + [(1, same)] * 2 + [(50, same)] * repeats + [(i, same) for i in range(51, 60)]
+    compare(spark, rows + vectors(40, 4)[2:])
+    compare(spark, [(0, same)] * repeats + [(1, same)] + vectors(40, 4)[2:])
+
+
 def test_scaled_vectors_do_not_overflow(spark):
     df = spark.createDataFrame([(0, [1e200, 1e200]), (1, [2e200, 2e200]), (2, [1e-200, -1e-200])],
                                "vec_id long, embedding array<double>")
