@@ -23,7 +23,7 @@ table gives no rows. Long texts are hashed in segments, with the last words carr
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,29 +57,32 @@ def _segments(data: bytes, size: int) -> Iterator[bytes]:
         start = end
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, segment: int = SEGMENT) -> int:
-    """SimHash of a whole text, unsigned."""
+def shingles(text: str | None, shingle: int, segment: int = SEGMENT) -> Iterator[list[int]]:
+    """XXH64 values of a whole text's shingles, in their order, a list for each segment."""
     data = (text or "").encode().lower()  # of bytes: A-Z only
     digest, seed = xxhash.xxh64_intdigest, SEED
-    bits, n, last = np.zeros(64, dtype=np.int64), 0, []
-
-    def count(hashes: list[int]) -> None:
-        nonlocal bits, n
-        values = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
-        for at in range(0, len(values), 1 << 16):
-            bits = bits + np.unpackbits(values[at:at + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        n += len(hashes)
-
+    none, last = True, []
     for part in _segments(data, segment):
         words = last + part.split()
         if len(words) >= shingle:
             joined = b" ".join(words)
             ends = np.cumsum([len(w) + 1 for w in words])
             starts = [0, *ends[:-shingle].tolist()]
-            count([digest(joined[a:b], seed) for a, b in zip(starts, (ends[shingle - 1:] - 1).tolist(), strict=True)])
+            none = False
+            yield [digest(joined[a:b], seed) for a, b in zip(starts, (ends[shingle - 1:] - 1).tolist(), strict=True)]
         last = words[-(shingle - 1):] if shingle > 1 else []
-    if not n and last:
-        count([digest(b" ".join(last), seed)])
+    if none and last:
+        yield [digest(b" ".join(last), seed)]
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, segment: int = SEGMENT) -> int:
+    """SimHash of a whole text, unsigned."""
+    bits, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in shingles(text, shingle, segment):
+        values = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
+        for at in range(0, len(values), 1 << 16):
+            bits = bits + np.unpackbits(values[at:at + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return sum(1 << int(i) for i in np.flatnonzero(2 * bits > n))
 
 
@@ -172,10 +175,10 @@ def components(edges: DataFrame) -> DataFrame:
     return now
 
 
-def classes(prints: DataFrame) -> DataFrame:
+def classes(prints: DataFrame, link: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
     """fp, first (struct of the least id and its fp) and root of every distinct fingerprint of ``prints`` (doc_id, fp)."""
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    stars = components(links(distinct.select("fp")))
+    stars = components(link(distinct.select("fp")))
     rooted = distinct.join(stars.withColumnRenamed("a", "fp"), "fp", "left") \
         .select("fp", "least", F.coalesce("b", "fp").alias("root"))
     # Nulls sort last here, so a null id stands for its class only if there is no other.
@@ -192,15 +195,19 @@ def report(docs: DataFrame) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """``columns`` of one document of each component: the one with the least id."""
+def keep_one(docs: DataFrame, columns: tuple[str, ...], mark: Callable[..., DataFrame] = with_fingerprint,
+             link: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
+    """``columns`` of one document of each component: the one with the least id.
+
+    ``mark`` adds the fingerprint, ``link`` gives the links of the distinct fingerprints.
+    """
     rest = [c for c in columns if c != "doc_id"]
-    prints = cut(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "fp"))
-    stay = cut(classes(prints).select("first").distinct()
+    prints = cut(mark(docs.select("doc_id", "text")).select("doc_id", "fp"))
+    stay = cut(classes(prints, link).select("first").distinct()
                .select(F.col("first.least").alias("_id"), F.col("first.fp").alias("_fp")))
     if fits(stay, BROADCAST_ROWS):
         stay = F.broadcast(stay)
-    whole = with_fingerprint(docs.select("doc_id", *rest), name="_print")
+    whole = mark(docs.select("doc_id", *rest), name="_print")
     kept = whole.join(stay, whole["doc_id"].eqNullSafe(stay["_id"]) & (F.col("_print") == F.col("_fp")), "left_semi")
     # Rows that share id and fingerprint are copies too.
     one = kept.groupBy("doc_id", "_print").agg(F.min(F.struct(*rest)).alias("_row"))
