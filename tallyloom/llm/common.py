@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +36,24 @@ def cut(df: DataFrame) -> DataFrame:
 def fits(df: DataFrame, most_rows: int) -> bool:
     """Whether ``df`` has at most that many rows; reads no more than one row beyond."""
     return len(df.select(F.lit(1)).limit(most_rows + 1).take(most_rows + 1)) <= most_rows
+
+
+def others(df: DataFrame, added: str, *gone: str) -> list[str]:
+    """Columns of ``df`` but those gone and those that have the name of an added one (of a schema string)."""
+    names = {part.split()[0].lower() for part in added.split(", ")}
+    return [c for c in df.columns if c not in gone and c.lower() not in names]
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of whole rows with about ``size`` bytes in ``column``; a longer value is alone."""
+    for batch in batches:
+        yield from _halved(batch, column, size)
+
+
+def _halved(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    n = batch.num_rows
+    if batch.column(column).nbytes <= size or n < 2:
+        yield batch
+    else:
+        yield from _halved(batch.slice(0, n // 2), column, size)
+        yield from _halved(batch.slice(n // 2), column, size)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import ann, chat, lm, quality
+from tallyloom.llm import ann, chat, infill, lm, quality
 
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -88,4 +88,26 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_seen, 0)::BIGINT AS n_s
 FROM d LEFT JOIN r USING (doc_id)
 """
 
-ORACLES = {"op3_chat_format": CHAT, "op5_nearest_vectors": ann.SQL, "op7_lm_scoring": LM, "op9_quality_rules": QUALITY}
+_h = [f"('0x' || substr(h, {8 * i + 1}, 8))::UBIGINT::BIGINT" for i in range(4)]
+
+INFILL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w,
+    sha256('{infill.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+c AS (
+  SELECT *, least({_h[0]} % (len(w) + 1), {_h[1]} % (len(w) + 1)) AS a,
+    greatest({_h[0]} % (len(w) + 1), {_h[1]} % (len(w) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+      OR {_h[2]} % 100 >= {100 - infill.PLAIN} THEN 'plain'
+      WHEN {_h[3]} % 100 < {infill.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (
+  SELECT doc_id, t, len(w) AS n, form, array_to_string(w[1:a], '') AS prefix,
+    array_to_string(w[a + 1:b], '') AS middle, array_to_string(w[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN len(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN len(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+ORACLES = {"op13_fill_in_middle": INFILL, "op3_chat_format": CHAT, "op5_nearest_vectors": ann.SQL, "op7_lm_scoring": LM, "op9_quality_rules": QUALITY}

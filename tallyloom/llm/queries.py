@@ -7,13 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import ann, bpe, chat, langid, licenses, lm, mixing, quality, sharding, simhash
+from tallyloom.llm import ann, bpe, chat, infill, langid, licenses, lm, mixing, pieces, quality, sharding, simhash, whiten
 from tallyloom.llm.common import table
 from tallyloom.llm.oracles import ORACLES  # noqa: F401 (registered with the queries)
 
 #: Parameters of the encoding: the rank file and the pattern that splits texts.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+#: The vocabulary of the piece encoding.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
@@ -27,4 +29,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": lambda spark, d: simhash.report(table(spark, d, "documents")),
     "op9_quality_rules": lambda spark, d: quality.report(table(spark, d, "documents")),
     "op10_sharding": lambda spark, d: sharding.report(table(spark, d, "documents")),
+    "op11_sentencepiece": lambda spark, d: pieces.report(table(spark, d, "documents"), PIECES),
+    "op12_whitening": lambda spark, d: whiten.report(table(spark, d, "embeddings")),
+    "op13_fill_in_middle": lambda spark, d: infill.report(table(spark, d, "documents")),
 }
