@@ -14,7 +14,7 @@ from tallyloom.llm import mixing  # noqa: E402
 
 from .test_bpe import REFERENCE
 from .test_quality import brute
-from .test_simhash import brute_components, brute_print
+from .test_similar import brute_groups
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -56,8 +56,8 @@ def test_language_id_keeps_what_reads_as_claimed(stages):
 
 def test_dedup_keeps_one_of_each(stages):
     docs, done = stages["simhash_dedup"]
-    classes = brute_components([(r.doc_id, brute_print(r.text)) for r in docs.collect()])
-    assert ids(done) == sorted({c for *_, c in classes})
+    groups, linked = brute_groups([(r.doc_id, r.text) for r in docs.collect()])
+    assert ids(done) == sorted(set(groups.values())) and linked > 0
 
 
 def test_mix_is_the_operator(stages):
