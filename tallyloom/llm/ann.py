@@ -20,7 +20,7 @@ queries there is one group, and candidates move once.
 Edge cases: vectors that are null, empty, zero or hold a null or non-finite component, and rows with a null id, take no
 part. Vectors of another dimension than the query's are no candidates. Rows with the query's own id are never its
 neighbours; a repeated query id is one query (its smallest vector), a repeated candidate row counts by itself. Ties go
-to the smaller id. Fewer than k candidates: all are listed. An empty table gives no rows.
+to the smaller id. Fewer than k candidates: all are listed. An empty table gives no rows. Other columns are not used.
 """
 
 from __future__ import annotations

@@ -29,6 +29,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tallyloom.llm.common import others
+
 CHUNK = 8 << 20
 KEEP = 400_000
 NONE = np.int32(np.iinfo(np.int32).max)
@@ -257,16 +259,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", w
     """``docs`` without ``text`` and with n_tokens, ids_sha256, decoded_sha256 and, if asked, ids (array<int>).
 
     ids_sha256: digest of the ids as little-endian unsigned 32-bit integers; decoded_sha256: of the decoded bytes.
-    ``ranks_path`` is read by the driver; the list of ``docs`` columns must not hold the names that are added.
+    ``ranks_path`` is read by the driver. Input columns that carry the name of an added one are replaced.
     """
     tokens = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # bounded: the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return encode_batches(batches, tokens.value, pattern, text, with_ids)
 
-    kept = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes if name != text)
-    schema = f"{kept}, {SCHEMA}" + ", ids array<int>" * with_ids
-    return docs.mapInArrow(run, schema)
+    added = SCHEMA + ", ids array<int>" * with_ids
+    kept = others(docs, added, text)
+    schema = ", ".join([*(f"`{name}` {kind}" for name, kind in docs.dtypes if name in kept), added])
+    return docs.select(*(f"`{c}`" for c in kept), text).mapInArrow(run, schema)
 
 
 def decode(ids: np.ndarray, tokens: list[bytes]) -> bytes:

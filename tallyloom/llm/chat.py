@@ -14,7 +14,8 @@ formatted by many tasks. The output has one row for each part of a conversation:
 order of ``part``; an ordinary conversation has one or two parts. Slices are bounded in bytes.
 
 Edge cases: null text or role is empty; turns with equal numbers stand in the order of role, then of the text's hash;
-a null conv_id is a conversation of its own; null turns come first; an empty table gives no rows.
+a null conv_id is a conversation of its own; null turns come first; an empty table gives no rows; long texts are whole
+in one slice; columns of other names are left out.
 """
 
 from __future__ import annotations

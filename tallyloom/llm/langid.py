@@ -13,7 +13,8 @@ are exact and don't depend on partitioning. Prototypes are 8 KB for each distinc
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0, as is every text if nothing was learned or
 no n-gram is near any prototype (cosine 0 or less keeps the best language with score 0); rows with a null language
-teach nothing; a null doc_id counts as the empty string in the fold; empty tables and repeated rows need no care.
+teach nothing; a null doc_id counts as the empty string in the fold; empty tables and repeated rows need no care; long
+texts are read whole, in blocks; columns of other names are not used, but for those that ``keep`` is asked to return.
 """
 
 from __future__ import annotations
@@ -182,14 +183,17 @@ class Model:
 
 
 def fit(docs: DataFrame) -> Model:
-    """Prototypes from ``text`` and ``lang`` of all rows of ``docs`` where both are there."""
+    """Prototypes from ``text`` and ``lang`` of all rows of ``docs`` where both are there.
+
+    The ``MAX_LANGUAGES`` values of ``lang`` with most documents are learned, each from all of its documents.
+    """
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
     parts = rows.mapInArrow(_bundle, "lang string, sums array<long>")
+    # The names with most documents, in a column however dirty; ties go by name.
+    names = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
     sums = parts.select("lang", F.posexplode("sums").alias("dim", "value")).groupBy("lang", "dim") \
         .agg(F.sum("value").alias("value")).groupBy("lang").agg(F.collect_list(F.struct("dim", "value")).alias("v"))
-    found = {r.lang: r.v for r in sums.limit(MAX_LANGUAGES + 1).collect()}
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = {r.lang: r.v for r in sums.join(names, "lang", "left_semi").collect()}
     langs = sorted(found)
     prototypes = np.zeros((len(langs), DIM))
     for i, lang in enumerate(langs):

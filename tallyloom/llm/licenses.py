@@ -12,7 +12,7 @@ Words are compared by two independent 64-bit hashes; k-grams join on both.
 
 Edge cases: a null or empty text has no words and no labels; repeated rows and equal ids are separate documents
 (a row number of the scan keeps them apart); an empty table gives no rows. Texts are hashed whole; a batch holds
-whole documents and at least one, so the longest text bounds the memory.
+whole documents and at least one, so the longest text bounds the memory. Columns of other names are left out.
 """
 
 from __future__ import annotations

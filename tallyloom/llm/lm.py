@@ -21,7 +21,7 @@ the sums per document come back by chunk.
 
 Nothing of the corpus is broadcast but the list of frequent words. Edge cases: a null text or one without words has no
 score (null); with no other document all words are unknown; repeated rows are documents of their own; ids may be null;
-an empty table gives no rows.
+an empty table gives no rows; long texts are counted whole; columns of other names are left out.
 """
 
 from __future__ import annotations

@@ -18,7 +18,9 @@ Rates are summed as whole numbers (units of 1e-9), so the order of summation doe
 one cell at most for each distinct size of a source; only cells are read repeatedly or collected into arrays.
 
 Edge cases: a null text has size 0; documents of size 0 take no words (rate 1); a source without words has target 0;
-an empty table gives no rows; repeated rows are ranked as documents of their own; null ids are allowed.
+an empty table gives no rows; repeated rows are ranked as documents of their own; null ids are allowed; texts of any
+length are counted whole; columns of other names don't matter, carried ones may have any name but those with a leading
+underscore.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ BUDGET = 1.5
 MOST = 2
 UNIT = 1_000_000_000
 MAX_STEPS = 80
-BLOCK = 2_000
+BLOCK = 500
 #: Rows up to which a lookup of three numbers a row is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -99,6 +101,8 @@ def tilt(cells: DataFrame, aims: DataFrame) -> DataFrame:
             low.alias("_low"), high.alias("_high"), (F.col("_done") | near).alias("_done")))
         if not now.where(~F.col("_done")).take(1):
             break
+    else:
+        raise RuntimeError(f"rates have not settled in {MAX_STEPS} steps")
     rate = F.when(F.col("_full"), F.lit(MOST * UNIT).cast("long")).otherwise(_rate(F.col("_at")))
     return cells.join(now, "_s").select("_s", "size", "n", "target", rate.alias("rate"))
 
@@ -150,7 +154,10 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     rows = docs.select("doc_id", "source", *carry, word_count(F.col("text")).alias("_size"))
     narrow = cut(rows.select("doc_id", "source", "_size"))
     if not carry:
-        rows = narrow
+        # Equal rows are one row with a number until the end, however many there are.
+        rows = narrow.groupBy("doc_id", "source", "_size").agg(F.count("*").alias("_times"))
+    else:
+        rows = rows.withColumn("_times", F.lit(1).cast("long"))
     aims = cut(targets(narrow.groupBy("source").agg(F.sum("_size").alias("words"))))
     small = lookup(aims.select(F.col("source").alias("_source"), "_s"))
     cells = narrow.join(small, narrow["source"].eqNullSafe(small["_source"])) \
@@ -159,10 +166,13 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     counts = _blocked(narrow, aims, cells).groupBy("_s", "_size", "_block").agg(F.count("*").alias("_docs"))
     before = Window.partitionBy("_s", "_size").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_s", "_size", "_block", F.coalesce(F.sum("_docs").over(before), F.lit(0)).alias("_from"))
-    inside = Window.partitionBy("_s", "_size", "_block").orderBy("_hash", "doc_id")
-    ranked = _blocked(rows, aims, cells).withColumn("_nth", F.row_number().over(inside))
+    inside = Window.partitionBy("_s", "_size", "_block").orderBy("_hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = _blocked(rows, aims, cells).withColumn("_prior", F.coalesce(F.sum("_times").over(inside), F.lit(0)))
     ranked = ranked.join(lookup(cut(offsets.where("_from > 0"))), ["_s", "_size", "_block"], "left")
-    more = F.coalesce(F.col("_from"), F.lit(0)) + F.col("_nth") <= F.col("extra")
+    # So many of the row's equals get one copy more.
+    more = F.col("extra") - F.coalesce(F.col("_from"), F.lit(0)) - F.col("_prior")
+    ranked = ranked.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    more = F.col("_nth") <= more
     return ranked.select("doc_id", "source", *carry, "_size", "source_size", "target",
                          (F.col("base") + F.when(more, 1).otherwise(0)).alias("_copies"))
 

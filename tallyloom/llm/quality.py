@@ -117,7 +117,10 @@ def failed(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with the structs ``_quality`` (measures) and ``_failed`` (names of failed rules)."""
+    """``docs`` with the structs ``_quality`` (measures) and ``_failed`` (names of failed rules).
+
+    Input columns of these names are replaced.
+    """
     judged = docs.withColumn("_quality", measure(F.col(text)))
     return judged.withColumn("_failed", failed(F.col("_quality"), rules))
 

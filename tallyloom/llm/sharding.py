@@ -7,7 +7,8 @@ its middle lies, so shards are contiguous, differ from the target by less than t
 texts, however large, is cut wherever the target says.
 
 Edge cases: a null text counts as empty (size 16, checksum 0); null ids come first; equal rows are interchangeable;
-an empty table gives no rows; fewer rows than shards leave shards empty.
+an empty table gives no rows; fewer rows than shards leave shards empty; long texts only count by their size; columns
+of other names are left out.
 """
 
 from __future__ import annotations
@@ -33,7 +34,10 @@ def shard(rows: DataFrame, shards: int, order: tuple[str, ...], size: str = "siz
     ``rows`` should be narrow: they are shuffled twice, and kept in between so that both passes see one partitioning.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(rows.repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in order])
+    # The scan's row number parts equal rows, of which a table may hold any number.
+    order = (*order, "_row")
+    placed = cut(rows.withColumn("_row", F.monotonically_increasing_id())
+                 .repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in order])
                  .withColumn("_part", F.spark_partition_id()))
     # One row per partition.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

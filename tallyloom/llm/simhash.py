@@ -17,7 +17,8 @@ no neighbour list is collected. Every round is checkpointed.
 
 Edge cases: a null text has no words; no words give fingerprint zero, which links like any other; fewer words than a
 shingle are one shingle; null ids take part and lose every minimum; repeated rows share their component; an empty
-table gives no rows. Long texts are hashed in segments, with the last words carried over.
+table gives no rows. Long texts are hashed in segments, with the last words carried over. Columns of other names are
+left out, but for those that ``keep_one`` is asked to return.
 """
 
 from __future__ import annotations
@@ -144,7 +145,8 @@ def links(prints: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    # Checkpointed, so that both sides of the join come straight from a shuffle: Spark then splits a star's centre.
+    least = cut(both.groupBy("a").agg(F.min("b").alias("m")))
     moved = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
     return moved.distinct()
 
