@@ -44,17 +44,14 @@ def check_boundaries(claims: DataFrame, lines: DataFrame) -> DataFrame:
     asked = claims.where(F.col("previous").isNotNull()).select(
         "store_id", F.col("previous.path").alias("path"),
         F.col("base.end_byte_offset").alias("offset")).where(F.col("offset").isNotNull()).distinct()
-    none = F.lit(None).cast("bigint")
-    edges = F.array(
-        F.struct(F.col("end_offset").alias("offset"), F.col("ordinal").alias("ends"), none.alias("starts"),
-                 F.lit(True).alias("is_end"), F.lit(False).alias("is_start")),
-        F.struct(F.col("start_offset").alias("offset"), none.alias("ends"), F.col("ordinal").alias("starts"),
-                 F.lit(False).alias("is_end"), F.lit(True).alias("is_start")))
-    seen = (lines.select("store_id", "path", F.explode(edges).alias("e")).select("store_id", "path", "e.*")
-            .join(asked, ["store_id", "path", "offset"], "left_semi")
+    # A file is asked for one offset or a few, so its lines meet them by the file and only those at an offset are left.
+    wanted = asked.withColumnsRenamed({"path": "_path", "store_id": "_store"})
+    is_end, is_start = F.col("end_offset") == F.col("offset"), F.col("start_offset") == F.col("offset")
+    meets = (F.col("store_id") == F.col("_store")) & (F.col("path") == F.col("_path")) & (is_end | is_start)
+    seen = (lines.select("store_id", "path", "start_offset", "end_offset", "ordinal").join(wanted, meets)
             .groupBy("store_id", "path", "offset")
-            .agg(F.max("ends").alias("ends"), F.max("starts").alias("starts"),
-                 F.bool_or("is_end").alias("is_end"), F.bool_or("is_start").alias("is_start")))
+            .agg(F.max(F.when(is_end, F.col("ordinal"))).alias("ends"), F.max(F.when(is_start, F.col("ordinal"))).alias("starts"),
+                 F.bool_or(is_end).alias("is_end"), F.bool_or(is_start).alias("is_start")))
     sided = claims.withColumns({"_path": F.col("previous.path"),
                                 "_offset": F.col("base.end_byte_offset")})
     joined = sided.join(seen.withColumnsRenamed({"path": "_path", "offset": "_offset"}),

@@ -89,16 +89,24 @@ def tool_calls_by_harness(spark, sf_dir):
 
 
 @query("token_ledger", EV + """
-SELECT harness, bool_or(available) AS available, CAST(sum(u_input) AS BIGINT) AS input,
-       CAST(sum(u_output) AS BIGINT) AS output FROM (
-  SELECT harness, available, u_input, u_output FROM first_calls WHERE available
+SELECT harness, bool_or(available) AS available, bool_or(available) AS exact,
+       CAST(coalesce(sum(u_input) FILTER (available), 0) AS BIGINT) AS input,
+       CAST(coalesce(sum(u_output) FILTER (available), 0) AS BIGINT) AS output,
+       CAST(0 AS BIGINT) AS cache_read, CAST(0 AS BIGINT) AS cache_write, CAST(0 AS BIGINT) AS reasoning,
+       max(source) FILTER (available) AS source FROM (
+  SELECT harness, available, u_input, u_output, 'message.usage' AS source FROM first_calls
   UNION ALL
-  SELECT harness, available, u_input, u_output FROM sessions WHERE available AND NOT is_child AND NOT has_calls)
-GROUP BY harness""")
+  SELECT harness, available, u_input, u_output, 'session columns' FROM sessions WHERE NOT is_child AND NOT has_calls)
+GROUP BY harness
+UNION ALL
+SELECT 'none of ' || harness, false, false, 0, 0, 0, 0, 0, NULL FROM first_calls WHERE NOT available GROUP BY harness""")
 def token_ledger(spark, sf_dir):
     first = metrics.distinct_calls(ev_calls(spark, sf_dir), H)
-    total = metrics.token_ledger(ev_sessions(spark, sf_dir), first, H)
-    return total.where("available").select("harness", "available", "input", "output")
+    sessions = ev_sessions(spark, sf_dir)
+    # Calls without usage are harnesses of their own here, too: whose ledger is unavailable.
+    bare = first.where("NOT usage.available").withColumn("harness", F.concat(F.lit("none of "), "harness"))
+    total = metrics.token_ledger(sessions, first.unionByName(bare), H)
+    return total.select("harness", "available", "exact", "input", "output", "cache_read", "cache_write", "reasoning", "source")
 
 
 @query("model_turns", EV + "SELECT harness, model, turns FROM turns WHERE turns > 0")

@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyloom.functions import jsonx, text, times
-from tallyloom.operators import chain, coverage, dedupe, ordered, reconcile
+from tallyloom.operators import chain, coverage, dedupe, ordered, preference, reconcile
 from tallyloom.schemas import Tables, published_ord, tables, usage
 from tallyloom.sources import sqlite
 from tallyloom.sources.common import SCOPE, store_of
 from tallyloom.sources.lake import (LAZY, Lake, Stage, existing, list_files, records, scan_documents,
-                                    scan_lines, sum_warnings, unreadable_files, warning_rows)
+                                    scan_lines, sum_warnings, warning_rows, with_offsets)
 
 HARNESS = "codex"
 #: Fixed values of the original tool, in force if the job asks for them (lake.byte_limit).
@@ -62,16 +62,25 @@ def selected_files(listing: DataFrame) -> DataFrame:
 
 
 def parse(raw: DataFrame) -> DataFrame:
-    """Content-free events of every non-empty line."""
-    rows = records(place(raw), MAX_RECORD_BYTES).withColumn("r", jsonx.parse_record(F.col("line"), RECORD))
+    """Content-free events of every line; blank ones and the null line of an unreadable file hold nothing else.
+
+    This is the only pass over the text: what later steps need of a line's bytes, its number of bytes and its digest, is
+    kept here.
+    """
+    sized = place(raw).withColumns({
+        "unreadable": F.col("line").isNull(), "bytes": F.coalesce(F.octet_length("line"), F.lit(0)).cast("bigint") + 1,
+        "digest": F.sha2("line", 256)})
+    rows = records(sized, MAX_RECORD_BYTES, blank=True)
+    rows = rows.withColumn("blank", ~F.col("oversize") & (F.coalesce(F.length("line"), F.lit(0)) == 0)).withColumn(
+        "r", jsonx.parse_record(F.col("line"), RECORD))
     r = F.col("r")
-    malformed = ~F.col("oversize") & jsonx.is_malformed(F.col("line"), r)
-    ok = ~F.col("oversize") & ~malformed
+    malformed = ~F.col("oversize") & ~F.col("blank") & jsonx.is_malformed(F.col("line"), r)
+    ok = ~F.col("oversize") & ~F.col("blank") & ~malformed
     p = r["payload"]
     msg = F.col("kind") == "event_msg"
     base = rows.select(
-        "store_id", "path", "line_key", "packed", "oversize", malformed.alias("malformed"), ok.alias("ok"),
-        r["ordinal"].alias("ordinal"), F.when(ok, times.parse_rfc3339(r["timestamp"])).alias("at"),
+        "store_id", "path", "line_key", "packed", "bytes", "digest", "blank", "unreadable", "oversize",
+        malformed.alias("malformed"), ok.alias("ok"), r["ordinal"].alias("ordinal"), F.when(ok, times.parse_rfc3339(r["timestamp"])).alias("at"),
         r["type"].alias("kind"), p.alias("p"), p["type"].alias("item"))
     p = F.col("p")
     is_legacy = F.coalesce(msg & (F.col("item") == "user_message"), F.lit(False))
@@ -100,7 +109,8 @@ def parse(raw: DataFrame) -> DataFrame:
     is_turn = F.coalesce(F.col("kind") == "turn_context", F.lit(False))
     total = p["info"]["total_token_usage"]
     return sized.select(
-        "store_id", "path", "line_key", "packed", "oversize", "malformed", "ok", "ordinal", "at",
+        "store_id", "path", "line_key", "packed", "bytes", "digest", "blank", "unreadable", "oversize", "malformed", "ok",
+        "ordinal", "at",
         (is_meta & F.col("ok")).alias("is_meta"), (is_turn & F.col("ok")).alias("is_turn"),
         F.when(is_meta, F.coalesce(text.blank_to_null(p["id"]), text.blank_to_null(p["session_id"]))).alias("thread_id"),
         F.when(is_meta, text.blank_to_null(p["id"])).alias("meta_id"),
@@ -119,45 +129,32 @@ def parse(raw: DataFrame) -> DataFrame:
         F.when(textual, text.characters(F.col("body"))).otherwise(0).alias("characters"))
 
 
-def inspect(raw: DataFrame, events: DataFrame) -> DataFrame:
+def inspect(events: DataFrame) -> DataFrame:
     """Segment header per file from its physical first line."""
-    first = raw.groupBy("store_id", "path").agg(
-        F.min("line_key").alias("line_key"), F.min_by(F.length("line"), F.col("line_key")).alias("size"))
-    head = first.join(events.select("store_id", "path", "line_key", "ok", "is_meta", "thread_id", "ordinal", "base"),
-                      ["store_id", "path", "line_key"], "left")
-    meta = F.coalesce(F.col("is_meta"), F.lit(False))
+    first = F.min_by(F.struct("ok", "is_meta", "thread_id", "ordinal", "base"), F.col("line_key"))
+    head = events.where(~F.col("unreadable")).groupBy("store_id", "path").agg(first.alias("h"))
+    meta = F.col("h.is_meta")
     return head.select(
-        "store_id", "path", F.col("path").endswith(".zst").alias("packed"),
-        (~F.coalesce(F.col("ok"), F.lit(False))).alias("failed"),
-        F.when(meta, F.col("thread_id")).alias("thread_id"), F.when(meta, F.col("ordinal")).alias("first_ordinal"),
-        F.when(meta, F.col("base")).alias("base"))
-
-
-def line_offsets(raw: DataFrame) -> DataFrame:
-    """Byte offsets of every line, blank ones included."""
-    sized = raw.withColumns({"_block": F.col("line_key.block"), "_bytes": F.octet_length("line") + 1})
-    return (ordered.running_sum(sized, ["store_id", "path"], ["_block"], ["line_key"], F.col("_bytes"), "end_offset")
-            .withColumn("start_offset", F.col("end_offset") - F.col("_bytes")).drop("_block", "_bytes"))
+        "store_id", "path", F.col("path").endswith(".zst").alias("packed"), (~F.col("h.ok")).alias("failed"),
+        F.when(meta, F.col("h.thread_id")).alias("thread_id"), F.when(meta, F.col("h.ordinal")).alias("first_ordinal"),
+        F.when(meta, F.col("h.base")).alias("base"))
 
 
-def plan_segments(raw: DataFrame, events: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """(files with their plan, offsets of lines in cut files, warnings)."""
-    heads = stage(inspect(raw, events), "codex_heads")
+def plan_segments(events: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(files with their plan, offsets of lines in cut files, warnings), from staged events alone."""
+    heads = stage(inspect(events), "codex_heads")
     shared = heads.where(F.col("thread_id").isNotNull()).groupBy("store_id", "thread_id").agg(
         F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
     several = heads.join(shared, ["store_id", "thread_id"], "left_semi")
-    candidates = raw.join(several.select("store_id", "path"), ["store_id", "path"], "left_semi")
-    measured = stage(line_offsets(candidates).select(
-        "store_id", "path", "line_key", "start_offset", "end_offset",
-        F.sha2(F.concat_ws(":", F.col("start_offset").cast("string"), F.col("line")), 256).alias("line")),
-        "codex_offsets")
+    candidates = events.where(~F.col("unreadable")).join(several.select("store_id", "path"), ["store_id", "path"], "left_semi")
+    measured = stage(with_offsets(candidates.select("store_id", "path", "line_key", "ordinal", "bytes", F.col("digest").alias("line"))),
+                     "codex_offsets")
     # A copy is another physical file, not another segment.
     digests = chain.fingerprint(measured)
     same = dedupe.byte_identical(several.join(digests, ["store_id", "path"]), ["store_id", "thread_id"],
                                  "digest", "path")
     unique = several.join(same.select("store_id", "thread_id", "path"), ["store_id", "thread_id", "path"], "left_semi")
-    offsets = measured.drop("line").join(
-        events.select("store_id", "path", "line_key", "ordinal"), ["store_id", "path", "line_key"], "left")
+    offsets = measured.drop("line", "bytes")
     plan = stage(chain.stitch(unique.select("store_id", "thread_id", "path", "first_ordinal", "packed", "base"),
                               offsets, stage), "codex_plan")
     suppressed = several.join(unique.select("store_id", "path"), ["store_id", "path"], "left_anti")
@@ -219,12 +216,9 @@ def choose_files(files: DataFrame) -> DataFrame:
     more prompts. That relation is not transitive, so every physically different
     file of an id takes part, as three scalars.
     """
-    ends = F.coalesce(F.col("ended_at"), F.lit("0001-01-01").cast("timestamp")).alias("e")
-    entries = F.array_sort(F.collect_list(F.struct("path", ends, F.col("n_prompts").alias("n"))))
-    fold = F.aggregate(
-        F.slice(entries, F.lit(2), F.size(entries)), F.try_element_at(entries, F.lit(1)),
-        lambda best, x: F.when((x["e"] > best["e"]) | (x["n"] > best["n"]), x).otherwise(best))
-    return files.groupBy("store_id", "session_id").agg(fold["path"].alias("path"))
+    ends = F.unix_micros(F.coalesce(F.col("ended_at"), F.lit("0001-01-01").cast("timestamp")))
+    rows = files.select("store_id", "session_id", "path", ends.alias("first"), F.col("n_prompts").cast("long").alias("second"))
+    return preference.last_preferred(rows, ["store_id", "session_id"], "path", "first", "second")
 
 
 HISTORY = "session_id string, text string, ts bigint"
@@ -313,9 +307,9 @@ def normalize(raw: DataFrame, history: DataFrame | None = None,
     """
     spark = raw.sparkSession
     events = stage(parse(raw), "codex_events")
-    files, offsets, warned = plan_segments(raw.where(F.col("path").rlike(r"/?rollout-[^/]*$")), events, stage)
+    files, offsets, warned = plan_segments(events, stage)
     files = stage(files, "codex_files")
-    kept_events = events.join(files.select("store_id", "path", "stitched", "cut_ordinal", "cut_offset"), ["store_id", "path"])
+    kept_events = events.where(~F.col("blank")).drop("bytes", "digest", "blank").join(files.select("store_id", "path", "stitched", "cut_ordinal", "cut_offset"), ["store_id", "path"])
     whole = kept_events.where(F.col("cut_offset").isNull())
     cut = (kept_events.where(F.col("cut_offset").isNotNull())
            .join(offsets.select("store_id", "path", "line_key", "start_offset"), ["store_id", "path", "line_key"])
@@ -373,6 +367,7 @@ def normalize(raw: DataFrame, history: DataFrame | None = None,
     repeats = lambda df, code: warning_rows(
         df.select("store_id", (F.col("copies") - 1).alias("n")), {code: F.col("n")}, HARNESS)
     warned += [
+        warning_rows(events, {"unreadable_file": F.col("unreadable")}, HARNESS),
         warning_rows(used, {"oversize_record": F.col("oversize"), "malformed_record": F.col("malformed"),
                             "invalid_timestamp": F.col("ok") & F.col("at").isNull()}, HARNESS),
         warning_rows(full, {"missing_or_invalid_session_meta": ~F.col("valid"),
@@ -447,7 +442,7 @@ def read(spark: SparkSession, lake: Lake, stage: Stage | None = None) -> Tables:
     stage = stage or Stage.shared(spark)
     listing = list_files(spark, lake, "codex_rollouts")
     chosen = selected_files(listing)
-    raw = place(scan_lines(spark, lake, "codex_rollouts", "rollout-*")).join(
+    raw = place(scan_lines(spark, lake, "codex_rollouts", "rollout-*", verdicts=True)).join(
         chosen.select("store_id", "path"), ["store_id", "path"], "left_semi").drop("packed")
     threads = sqlite.read_table(spark, existing(spark, lake.globs("codex_state")), "threads",
                                 "id string, rollout_path string, created_at bigint, created_at_ms bigint")
@@ -464,9 +459,7 @@ def read(spark: SparkSession, lake: Lake, stage: Stage | None = None) -> Tables:
     index = scan_lines(spark, lake, "codex_index")
     imports = scan_documents(spark, lake, "codex_imports", MAX_RECORD_BYTES)
     unparsed = list_files(spark, lake, "codex_thread_history")
-    unread = unreadable_files(spark, lake, "codex_rollouts", "rollout-*")
-    extra = [warning_rows(unparsed, {"unparsed_thread_history_database": F.lit(True)}, HARNESS),
-             warning_rows(unread, {"unreadable_file": F.lit(True)}, HARNESS)]
+    extra = [warning_rows(unparsed, {"unparsed_thread_history_database": F.lit(True)}, HARNESS)]
     extra += state_paths(threads, listing, chosen, lake.layout["codex_rollouts"])
     for name, tables_needed, code in (
             ("codex_state", ("threads",), "state_index_unavailable"),

@@ -11,8 +11,10 @@ import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import LongType
 
 from tallyloom.functions.text import decode_directory
 from tallyloom.session import ensure_checkpoint_dir
@@ -107,11 +109,38 @@ def pin_layout(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
 
 
-def _packed(spark: SparkSession, roots: Sequence[str], glob: str) -> DataFrame:
-    """path, mtime, content of the ``.zst`` files below the roots."""
+@F.arrow_udf(LongType())
+def _place(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Bytes before each line in its split, from the split's key and the line's bytes, both in the order of the scan."""
+    last, ended = None, 0
+    for keys, sizes in parts:
+        keys, sizes = np.asarray(keys), np.asarray(sizes)
+        if not len(keys):
+            yield pa.array([], pa.int64())
+            continue
+        starts = np.cumsum(sizes) - sizes
+        new = np.append(True, keys[1:] != keys[:-1])
+        base = np.maximum.accumulate(np.where(new, starts, 0))
+        if keys[0] == last:
+            base[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0)) == 0] -= ended
+        places = starts - base
+        last, ended = keys[-1], int(places[-1] + sizes[-1])
+        yield pa.array(places, pa.int64())
+
+
+def _packed(spark: SparkSession, roots: Sequence[str], glob: str) -> tuple[DataFrame, DataFrame]:
+    """(path, mtime, content) of the ``.zst`` files below the roots that fit a value, (path, mtime) of longer ones."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(roots)
-    return files.where(F.col("path").endswith(".zst")).select(
-        F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("modificationTime").alias("mtime"), "content")
+    files = files.where(F.col("path").endswith(".zst"))
+    # By length first: the source would fail for a content that no value can hold.
+    held, most = ["path", F.col("modificationTime").alias("mtime")], _longest_content(spark)
+    parts = (files.where(F.col("length") <= most).select(*held, "content"), files.where(F.col("length") > most).select(*held))
+    return tuple(df.withColumn("path", F.regexp_replace("path", "^file:/*", "/")) for df in parts)
+
+
+def _longest_content(spark: SparkSession) -> int:
+    """Longest file that the engine's binary source hands out."""
+    return min(ENGINE_BYTES, int(spark.conf.get("spark.sql.sources.binaryFile.maxLength")))
 
 
 def _is_sound(content: bytes) -> bool:
@@ -135,71 +164,85 @@ def _is_sound(content: bytes) -> bool:
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All lines of every sound file, a few thousand at a time; no line of any other."""
+    """All lines of every sound file, a few thousand at a time, with the bytes before each; of any other a null line."""
     import zstandard
 
     for batch in batches:
         for path, mtime, content in zip(*(batch.column(c) for c in ("path", "mtime", "content")), strict=True):
-            content, n = content.as_py(), 0
+            content, at = content.as_py(), 0
             if not _is_sound(content):
+                yield _line_batch(path, mtime, 0, [None], batch.schema)
                 continue
             rest = b""
             with zstandard.ZstdDecompressor().stream_reader(content, read_across_frames=True) as stream:
                 while block := stream.read(1 << 20):
                     *lines, rest = (rest + block).split(b"\n")
-                    yield _line_batch(path, mtime, n, lines, batch.schema)
-                    n += len(lines)
+                    yield _line_batch(path, mtime, at, lines, batch.schema)
+                    at += sum(map(len, lines)) + len(lines)
             if rest:
-                yield _line_batch(path, mtime, n, [rest], batch.schema)
+                yield _line_batch(path, mtime, at, [rest], batch.schema)
 
 
-def _line_batch(path, mtime, n: int, lines: list[bytes], schema: pa.Schema) -> pa.RecordBatch:
+def _line_batch(path, mtime, at: int, lines: list[bytes | None], schema: pa.Schema) -> pa.RecordBatch:
     count = len(lines)
+    sizes = np.array([len(x or b"") + 1 for x in lines], dtype=np.int64)
     return pa.RecordBatch.from_arrays(
         [pa.array([path.as_py()] * count, pa.string()), pa.array([mtime.as_py()] * count, schema.field("mtime").type),
-         pa.array(range(n, n + count), pa.int64()), pa.array([x.decode("utf-8", "replace") for x in lines], pa.string())],
+         pa.array(at + np.cumsum(sizes) - sizes, pa.int64()),
+         pa.array([None if x is None else x.decode("utf-8", "replace") for x in lines], pa.string())],
         ["path", "mtime", "n", "line"])
 
 
-def _unsound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        bad = [p.as_py() for p, c in zip(batch.column("path"), batch.column("content"), strict=True)
-               if not _is_sound(c.as_py())]
-        yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], ["path"])
-
-
-def scan_lines(spark: SparkSession, lake: Lake, name: str, glob: str = "*") -> DataFrame:
+def scan_lines(spark: SparkSession, lake: Lake, name: str, glob: str = "*", verdicts: bool = False) -> DataFrame:
     """One row per line of every file below the named roots, blank lines included.
 
-    ``line_key`` orders lines inside a file: split start, then position in the
-    split. It is fixed here, before any shuffle. A ``.zst`` file is one split; one
-    that cannot be read to its end has no lines and is named by :func:`unreadable_files`.
+    ``line_key`` orders lines inside a file: split start, then the bytes before the line in its split, counted while the
+    split is read. :func:`with_offsets` turns it into the place in the file, which no longer depends on the splits. A
+    ``.zst`` file is one split; one that cannot be read to its end, or is longer than a value can be, has no lines but
+    one null ``line`` if ``verdicts`` are asked for.
     """
     roots = existing(spark, lake.globs(name))
     if not roots:
         return spark.createDataFrame([], RAW)
     pin_layout(spark)
+    block = F.col("_block")
     plain = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
              .option("lineSep", "\n").text(roots).where(~F.col("_metadata.file_name").endswith(".zst"))
-             .select(F.col("value").alias("line"), _plain_path(F.col("_metadata.file_path")).alias("path"),
+             .select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"),
                      F.col("_metadata.file_block_start").alias("_block"),
                      F.col("_metadata.file_modification_time").alias("mtime"))
-             .withColumn("line_key", F.struct("path", F.col("_block").alias("block"),
-                                              F.monotonically_increasing_id().alias("n"))))
-    packed = _packed(spark, roots, glob).mapInArrow(_unpack, "path string, mtime timestamp, n bigint, line string") \
-        .withColumn("line_key", F.struct("path", F.lit(0).cast("bigint").alias("block"), "n"))
+             # Lines alone reach the worker as two numbers; the text stays where it is.
+             .withColumn("n", _place.asNondeterministic()(F.xxhash64("_file", "_block"), F.octet_length("line").cast("long") + 1))
+             .withColumn("path", _plain_path(F.col("_file")))
+             .withColumn("line_key", F.struct("path", block.alias("block"), "n")))
+    content, longer = _packed(spark, roots, glob)
+    packed = content.mapInArrow(_unpack, "path string, mtime timestamp, n bigint, line string").unionByName(
+        longer.withColumns({"n": F.lit(0).cast("bigint"), "line": F.lit(None).cast("string")}))
+    packed = packed.withColumn("line_key", F.struct("path", F.lit(0).cast("bigint").alias("block"), "n"))
     columns = ["line", "path", "mtime", "line_key"]
-    return _located(plain.select(columns).unionByName(packed.select(columns)), lake, name).select(
+    rows = _located(plain.select(columns).unionByName(packed.select(columns)), lake, name).select(
         "store_id", "path", "rel", "line_key", "line", "mtime")
+    return rows if verdicts else rows.where(F.col("line").isNotNull())
+
+
+def with_offsets(lines: DataFrame) -> DataFrame:
+    """``lines`` (store_id, path, line_key, bytes; blank lines included) with start_offset and end_offset in the file.
+
+    A split's lines follow those of the splits before it, so one sum per split gives where it starts.
+    """
+    key = ["store_id", "path", "_block"]
+    placed = lines.withColumn("_block", F.col("line_key.block"))
+    splits = placed.groupBy(*key).agg(F.max(F.col("line_key.n") + F.col("bytes")).alias("_size"))
+    before = Window.partitionBy("store_id", "path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = splits.select(*key, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))  # a row per split
+    start = F.col("_base") + F.col("line_key.n")
+    return (placed.join(bases, key).withColumns({"start_offset": start, "end_offset": start + F.col("bytes")})
+            .drop("_block", "_base"))
 
 
 def unreadable_files(spark: SparkSession, lake: Lake, name: str, glob: str = "*") -> DataFrame:
-    """(store_id, path) of the ``.zst`` files below the named roots that break off or are damaged."""
-    roots = existing(spark, lake.globs(name))
-    if not roots:
-        return spark.createDataFrame([], "store_id string, path string")
-    bad = _packed(spark, roots, glob).select("path", "content").mapInArrow(_unsound, "path string")
-    return _located(bad, lake, name).select("store_id", "path")
+    """(store_id, path) of the ``.zst`` files below the named roots that break off, are damaged or too long."""
+    return scan_lines(spark, lake, name, glob, verdicts=True).where(F.col("line").isNull()).select("store_id", "path")
 
 
 def scan_documents(spark: SparkSession, lake: Lake, name: str, max_bytes: int, glob: str = "*") -> DataFrame:
@@ -232,12 +275,17 @@ def list_files(spark: SparkSession, lake: Lake, name: str, glob: str = "*") -> D
     return _located(files, lake, name).select("store_id", "path", "rel", "length", "mtime")
 
 
-def records(raw: DataFrame, max_bytes: int) -> DataFrame:
-    """Non-empty lines without their carriage return; ``oversize`` beyond :func:`byte_limit` of ``max_bytes``."""
+def records(raw: DataFrame, max_bytes: int, blank: bool = False) -> DataFrame:
+    """Lines without their carriage return, empty ones only if asked for (then with null lines as well).
+
+    ``oversize`` is set, and the line null, beyond :func:`byte_limit` of ``max_bytes``.
+    """
     text = F.when(F.col("line").endswith("\r"),
                   F.expr("substring(line, 1, length(line) - 1)")).otherwise(F.col("line"))
-    trimmed = raw.withColumn("line", text).where(F.length("line") > 0)
-    oversize = F.octet_length("line") > byte_limit(raw.sparkSession, max_bytes)
+    trimmed = raw.withColumn("line", text)
+    if not blank:
+        trimmed = trimmed.where(F.length("line") > 0)
+    oversize = F.coalesce(F.octet_length("line") > byte_limit(raw.sparkSession, max_bytes), F.lit(False))
     return trimmed.withColumn("oversize", oversize).withColumn(
         "line", F.when(~F.col("oversize"), F.col("line")))
 

@@ -48,19 +48,19 @@ def build_root_and_child(store):
 
 
 def build_updates(store):
-    base = "claude/projects/project"
-    at = "2026-01-02T21:00:0{}Z".format
-    grown = {"input_tokens": 10, "output_tokens": 5, "output_tokens_details": {"thinking_tokens": 3}}
-    store.lines(f"{base}/adv.jsonl",
-                reply("r1", "adv", at(0), content=[tool("t1")],
-                      usage={"input_tokens": 10, "output_tokens": 2, "output_tokens_details": {"thinking_tokens": 1}}),
-                reply("r1", "adv", at(1), content=[tool("t2")], usage=grown))
-    store.lines(f"{base}/done.jsonl", reply("r2", "done", at(0), model="a"),
-                reply("r2", "done", at(1), model="b", usage={"input_tokens": 10, "output_tokens": 5}))
-    store.lines(f"{base}/syn.jsonl",
-                reply("r3", "syn", at(0), model="real", usage={"input_tokens": 10, "output_tokens": 2}),
-                reply("r3", "syn", at(1), model="<synthetic>", usage={"input_tokens": 10, "output_tokens": 5}),
-                reply("r4", "syn", at(2), model="<synthetic>"), reply("r4", "syn", at(3), model="real"))
+    """A reply that grows, one whose usage comes late under another model, and two with a synthetic record each."""
+    kiln, at = "claude/projects/-srv-kiln", "2025-06-30T18:4{}:20Z".format
+
+    def spent(out, thought=0):
+        return {"input_tokens": 431, "output_tokens": out, "output_tokens_details": {"thinking_tokens": thought}}
+
+    store.lines(f"{kiln}/glaze.jsonl", reply("stir", "glaze", at(1), content=[tool("sieve")], usage=spent(17, 6)),
+                reply("stir", "glaze", at(2), content=[tool("pour")], usage=spent(40, 15)))
+    store.lines(f"{kiln}/fire.jsonl", reply("heat", "fire", at(0), model="ember"),
+                reply("heat", "fire", at(3), model="flame", usage=spent(12)))
+    store.lines(f"{kiln}/cool.jsonl", reply("open", "cool", at(4), model="frost", usage=spent(7)),
+                reply("open", "cool", at(5), model="<synthetic>", usage=spent(30)),
+                reply("look", "cool", at(6), model="<synthetic>"), reply("look", "cool", at(7), model="frost"))
 
 
 def build_history_and_state(store):
@@ -99,37 +99,34 @@ def build_indexes_are_evidence_only(store):
 
 
 def build_loss_warnings(store):
+    """Records that lost their time, their text or their id, lines that are no records, and a file without any time."""
+    lamp = "claude/projects/-srv-lamp"
     store.lines(
-        "claude/projects/project/current.jsonl",
-        user(None, "current", "not-a-time", {"unexpected": True}),
-        user(None, "current", "2026-01-01T00:00:00Z", "missing prompt id"),
-        {"type": "assistant", "sessionId": "current", "timestamp": "not-a-time",
-         "message": {"role": "assistant", "model": "m", "content": "unsupported"}},
-        reply("a", "current", "2026-01-01T00:00:01Z", content=[{"type": "tool_use"}, tool("same")]),
-        reply("b", "current", "2026-01-01T00:00:02Z", content=[tool("same")]),
-        "{broken", '{"type": 5, "isMeta": "text"}')
-    store.lines("claude/projects/project/untimed.jsonl", user("u", "untimed", "not-a-time", "countable"))
-    store.lines("claude/projects/project/side.jsonl", user("s", "side", "2026-01-01T00:00:00Z", "x", isSidechain=True))
+        f"{lamp}/keeper.jsonl",
+        reply("oil", "keeper", "2025-08-19T03:20:00Z", content=[{"type": "tool_use"}, tool("can")]),
+        "[1, 2", user(None, "keeper", "2025-08-19T03:15:00Z", "trim the wick"),
+        reply("soot", "keeper", "2025-08-19T03:31:00Z", content=[tool("can")]),
+        {"type": "assistant", "sessionId": "keeper", "timestamp": "later", "message": {"role": "assistant", "model": "beam", "content": "?"}},
+        '{"type": "user", "isMeta": "perhaps"}', user(None, "keeper", "yesterday", {"shape": 7}))
+    store.lines(f"{lamp}/fog.jsonl", user("horn", "fog", "soon", "sound the horn"))
+    store.lines(f"{lamp}/boat.jsonl", user("row", "boat", "2025-08-20T04:00:00Z", "row out", isSidechain=True))
 
 
 def build_copies_across_homes(store):
-    first = [user("prompt-1", "shared", "2026-01-01T00:00:00Z", "First"),
-             reply("response-1", "shared", "2026-01-01T00:00:01Z", content=[tool("tool-1")],
-                   usage={"input_tokens": 10, "output_tokens": 2})]
-    second = [user("prompt-1", "shared", "2026-01-01T00:00:00Z", "First"),
-              reply("response-1", "shared", "2026-01-01T00:00:02Z", content=[tool("tool-2")],
-                    usage={"input_tokens": 10, "output_tokens": 5}),
-              user("prompt-2", "shared", "2026-01-02T00:00:00Z", "Later"),
-              reply("response-2", "shared", "2026-01-02T00:00:01Z", usage={"input_tokens": 7, "output_tokens": 3})]
-    store.lines("claude/projects/project/shared.jsonl", *first)
-    store.lines("extra/projects/project/shared.jsonl", *second)
-    for home in ("claude", "extra"):
-        store.lines(f"{home}/projects/project/shared/subagents/workflows/task/agent-child.jsonl",
-                    user("c", "shared", "2026-01-01T00:00:01Z", "child", agentId="child", isSidechain=True))
-    a = {"sessionId": "history-only", "timestamp": 1767225600000, "display": "Repeat"}
-    b = {**a, "display": "Different"}
-    store.lines("claude/history.jsonl", a, a)
-    store.lines("extra/history.jsonl", b, a, a)
+    """A session copied to another home and continued there, its helper in both, and a history kept twice."""
+    quay = "projects/-srv-quay"
+    ask = user("load", "ferry", "2025-05-09T07:10:00Z", "load the crates")
+    store.lines(f"claude/{quay}/ferry.jsonl", ask, reply("deck", "ferry", "2025-05-09T07:11:00Z", content=[tool("crane")],
+                                                       usage={"input_tokens": 140, "output_tokens": 31}))
+    store.lines(f"extra/{quay}/ferry.jsonl", ask, reply("deck", "ferry", "2025-05-09T07:12:30Z", content=[tool("ramp")],
+                                                      usage={"input_tokens": 140, "output_tokens": 52}),
+                user("sail", "ferry", "2025-05-11T06:00:00Z", "sail at high tide"),
+                reply("cast", "ferry", "2025-05-11T06:02:00Z", usage={"input_tokens": 66, "output_tokens": 9}))
+    seen, other = ({"sessionId": "pier", "timestamp": 1746000000000, "display": text} for text in ("again", "once"))
+    for home, kept in (("claude", [seen, seen]), ("extra", [other, seen, seen])):
+        store.lines(f"{home}/history.jsonl", *kept)
+        store.lines(f"{home}/{quay}/ferry/subagents/workflows/moor/agent-rope.jsonl",
+                    user("tie", "ferry", "2025-05-09T07:15:00Z", "tie her up", agentId="rope", isSidechain=True))
 
 
 @pytest.fixture(scope="module")
@@ -164,10 +161,10 @@ def test_root_and_child(read):
 def test_updates(read):
     t = of_store(read, "updates")
     got = {r.call_id: r for r in t.calls.collect()}
-    assert (got["r1"].usage.output, got["r1"].usage.reasoning) == (5, 3)
-    assert got["r2"].model == "b" and got["r2"].usage.input == 10
-    assert got["r3"].model == "real" and got["r3"].usage.output == 5
-    assert got["r4"].model == "real" and not got["r4"].usage.available
+    assert (got["stir"].usage.output, got["stir"].usage.reasoning) == (40, 15)
+    assert got["heat"].model == "flame" and got["heat"].usage.input == 431
+    assert got["open"].model == "frost" and got["open"].usage.output == 30
+    assert got["look"].model == "frost" and not got["look"].usage.available
     w = warned(t)
     assert w["assistant_usage_advanced"] == 2 and w["assistant_usage_completed"] == 1
     assert w["assistant_update_model_conflict"] == 1 and w["synthetic_model_records_excluded"] == 2
@@ -224,7 +221,7 @@ def test_copies_across_homes(read):
     counts = metrics.session_counts(t.sessions).collect()[0]
     assert counts.sessions == 2 and counts.child_sessions == 1
     calls = metrics.distinct_calls(t.calls)
-    assert metrics.token_ledger(t.sessions, calls).collect()[0].output == 8
+    assert metrics.token_ledger(t.sessions, calls).collect()[0].output == 61
     assert rows(metrics.distinct_tools(t.tools), "tools") == [(2,)]
     assert metrics.distinct_prompts(t.prompts).count() == 5
 
