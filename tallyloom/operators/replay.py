@@ -7,9 +7,10 @@ tail) and ``rewind`` (drop a message and all after it, everything if unknown).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: A put's content-free payload.
@@ -18,6 +19,8 @@ MESSAGE = ("struct<type:string,at:timestamp,words:bigint,characters:bigint,has_t
            "cache_read:bigint,cache_write:bigint,reasoning:bigint,source:string>>")
 SIZES = ("words", "characters", "has_text")
 KEY = ["store_id", "path"]
+#: Rows of a batch.
+BATCH = 4_096
 
 
 def survivors(operations: DataFrame,
@@ -32,6 +35,9 @@ def survivors(operations: DataFrame,
     * rewinds or removals: the same aggregate over the ids that :func:`_uncovered`
       finds alive; messages of one log are spread over its blocks;
     * reorders: positions no longer follow time, so ids and sizes are replayed.
+
+    What is replayed streams through a task in order: it holds the live ids of a log, and each operation costs time in
+    proportion to the ids it names or drops.
     """
     operations = stage(operations, "replay_operations")
     kinds = stage(operations.groupBy(*KEY).agg(
@@ -62,8 +68,8 @@ def _uncovered(operations: DataFrame) -> DataFrame:
     targets = rewinds.select(*KEY, "id").distinct()
     # Births of the targets alone decide where a rewind goes back to.
     skeleton = operations.where(F.col("op").isin("put", "remove")).join(targets, [*KEY, "id"], "left_semi").unionByName(rewinds)
-    cuts = skeleton.select(*KEY, "op", "id", "seq.*").groupBy(*KEY).applyInPandas(
-        _births, "store_id string, path string, block long, n long, sub long, to_block long, to_n long, to_sub long")
+    cuts = _streamed(skeleton.select(*KEY, "op", "id", "seq.*"), _births,
+                     "store_id string, path string, block long, n long, sub long, to_block long, to_n long, to_sub long")
     none = F.lit(None).cast("struct<block:bigint,n:bigint,sub:bigint>")
     stream = puts.withColumn("floor", none).unionByName(cuts.select(
         *KEY, F.lit(None).cast("string").alias("id"), F.struct("block", "n", "sub").alias("seq"),
@@ -81,21 +87,46 @@ def _uncovered(operations: DataFrame) -> DataFrame:
             .select(*KEY, "id").distinct())
 
 
-def _births(rows: pd.DataFrame) -> pd.DataFrame:
+def _streamed(rows: DataFrame, of_log: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
+    """``of_log`` of every log's rows in their order; rows hold ``KEY`` and the parts of seq."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+    shape = pa.schema([(part.split()[0], kinds[part.split()[1]]) for part in schema.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for row in _logs((row for batch in batches for row in batch.to_pylist()), of_log):
+            held.append(row)
+            if len(held) == BATCH:
+                yield pa.RecordBatch.from_pylist(held, schema=shape)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=shape)
+
+    dealt = rows.repartition(*KEY).sortWithinPartitions(*KEY, "block", "n", "sub")
+    return dealt.mapInArrow(run, schema).select(*names)
+
+
+def _logs(rows: Iterator[dict], of_log: Callable[[Iterator[dict]], Iterator[dict]]) -> Iterator[dict]:
+    for key, log in groupby(rows, key=lambda r: tuple(r[k] for k in KEY)):
+        for out in of_log(log):
+            yield {**dict(zip(KEY, key, strict=True)), **out}
+
+
+def _births(log: Iterator[dict]) -> Iterator[dict]:
     """Per rewind: the birth of its target, or before everything when unknown."""
-    born: dict[str, tuple] = {}
-    out = []
-    for r in rows.sort_values(["block", "n", "sub"]).itertuples(index=False):
-        at = (r.block, r.n, r.sub)
-        if r.op == "put":
-            born.setdefault(r.id, at)
-        elif r.op == "remove":
-            born.pop(r.id, None)
+    born: dict[str, tuple] = {}  # in the order of birth, so a rewind drops the last ones
+    for r in log:
+        at = (r["block"], r["n"], r["sub"])
+        if r["op"] == "put":
+            born.setdefault(r["id"], at)
+        elif r["op"] == "remove":
+            born.pop(r["id"], None)
         else:
-            floor = born.get(r.id, (-1, 0, 0))
-            out.append((r.store_id, r.path, *at, *floor))
-            born = {k: v for k, v in born.items() if v < floor}
-    return pd.DataFrame(out, columns=["store_id", "path", "block", "n", "sub", "to_block", "to_n", "to_sub"])
+            floor = born.get(r["id"], (-1, 0, 0))
+            while born and next(reversed(born.values())) >= floor:
+                born.popitem()
+            yield dict(zip(("block", "n", "sub", "to_block", "to_n", "to_sub"), (*at, *floor), strict=True))
 
 
 def _by_aggregate(operations: DataFrame) -> DataFrame:
@@ -113,9 +144,8 @@ def _by_aggregate(operations: DataFrame) -> DataFrame:
 def _by_replay(operations: DataFrame) -> DataFrame:
     flat = operations.select(*KEY, "seq.block", "seq.n", "seq.sub", "op", "id", "ids",
                              "message.words", "message.characters", "message.has_text")
-    kept = flat.groupBy(*KEY).applyInPandas(
-        _replay, "store_id string, path string, id string, block long, n long, sub long, "
-        "words long, characters long, has_text boolean")
+    kept = _streamed(flat, _replay, "store_id string, path string, id string, block long, n long, sub long, "
+                     "words long, characters long, has_text boolean")
     puts = operations.where(F.col("op") == "put").select(
         *KEY, "id", "message", "seq.block", "seq.n", "seq.sub")
     joined = kept.withColumnsRenamed({c: f"_{c}" for c in SIZES}).join(puts, [*KEY, "id", "block", "n", "sub"])
@@ -125,24 +155,24 @@ def _by_replay(operations: DataFrame) -> DataFrame:
     return joined.select(*KEY, "id", message.alias("message"))
 
 
-def _replay(rows: pd.DataFrame) -> pd.DataFrame:
+def _replay(log: Iterator[dict]) -> Iterator[dict]:
     """Keys only: which put of each id survives, and its current sizes."""
-    live: dict[str, tuple] = {}  # insertion order is message order
-    for r in rows.sort_values(["block", "n", "sub"]).itertuples(index=False):
-        if r.op == "put":
-            live[r.id] = (r.block, r.n, r.sub, r.words, r.characters, r.has_text)
-        elif r.op == "patch" and r.id in live:
-            live[r.id] = (*live[r.id][:3], r.words, r.characters, r.has_text)
-        elif r.op == "remove":
-            live.pop(r.id, None)
-        elif r.op == "order":
-            for listed in dict.fromkeys(r.ids):
+    live: dict[str, dict] = {}  # insertion order is message order
+    for r in log:
+        op, ident = r["op"], r["id"]
+        if op == "put":
+            live[ident] = {k: r[k] for k in ("id", "block", "n", "sub", *SIZES)}
+        elif op == "patch" and ident in live:
+            live[ident].update({k: r[k] for k in SIZES})
+        elif op == "remove":
+            live.pop(ident, None)
+        elif op == "order":
+            for listed in dict.fromkeys(r["ids"]):
                 if listed in live:
                     live[listed] = live.pop(listed)
-        elif r.op == "rewind":
-            ids = list(live)
-            for dropped in ids[ids.index(r.id):] if r.id in live else ids:
-                del live[dropped]
-    first = rows.iloc[0]
-    return pd.DataFrame([(first.store_id, first.path, k, *v) for k, v in live.items()],
-                        columns=["store_id", "path", "id", "block", "n", "sub", *SIZES])
+        elif op == "rewind":
+            if ident not in live:
+                live.clear()
+            while ident in live:
+                live.popitem()
+    yield from live.values()

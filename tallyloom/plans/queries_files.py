@@ -68,7 +68,8 @@ def facts(tables: Tables, extra: Sequence[DataFrame] = ()) -> DataFrame:
 
     providers = tables.providers.withColumns({
         "evidence": F.unix_micros("earliest_local_evidence"), "detailed": F.unix_micros("earliest_detailed_record"),
-        "known_incomplete": (F.col("coverage_status") == "known incomplete").cast("bigint")})
+        "known_incomplete": (F.col("coverage_status") == "known incomplete").cast("bigint"),
+        "assessment_incomplete": (F.col("coverage_status") == "coverage assessment incomplete").cast("bigint")})
     sessions = tables.sessions.groupBy("store_id").agg(
         F.count_if(~F.col("is_child")).alias("sessions"), F.count_if("is_child").alias("child_sessions"),
         F.sum("tool_calls").alias("tool_calls"), F.sum("usage.input").alias("input"), F.sum("usage.output").alias("output"))
@@ -77,7 +78,7 @@ def facts(tables: Tables, extra: Sequence[DataFrame] = ()) -> DataFrame:
     warned = tables.warnings.select(F.col("store_id").alias("store"), F.lit("warning").alias("kind"),
                                     F.col("code").alias("name"), F.col("n").alias("value"))
     parts = [warned, long(providers, "provider", ["history_only_sessions", "unmaterialized_sessions", "evidence", "detailed",
-                                                  "known_incomplete"]),
+                                                  "known_incomplete", "assessment_incomplete"]),
              long(sessions, "total", ["sessions", "child_sessions", "tool_calls", "input", "output"]),
              long(prompts, "total", ["prompts", "words"]), *extra]
     out = parts[0]
@@ -108,6 +109,8 @@ old AS (SELECT * FROM r WHERE event_type = 'view' AND user_id % 5 = 1),
 solo AS (SELECT store, user_id, min(date_trunc('second', ts)) AS st FROM old WHERE user_id % 10 = 6 GROUP BY ALL),
 idx AS (SELECT DISTINCT store, user_id FROM r WHERE user_id % 4 = 2),
 lost AS (SELECT store, count(*) AS n FROM idx WHERE user_id % 16 <> 6 AND user_id % 8 = 2 GROUP BY store),
+gaps AS (SELECT store, count(*) FILTER (event_type = 'view' AND user_id % 10 = 6) + count(*) FILTER (user_id % 4 = 2 AND user_id % 16 <> 6) > 0 AS gap,
+           count(*) FILTER (broken OR (event_type = 'error' AND k % 13 = 0) OR user_id % 16 = 6) > 0 AS loss FROM r GROUP BY store),
 shown AS (SELECT store, 1 AS own, words FROM (SELECT store, k % 7 AS words FROM kept WHERE g % 7 <> 3)
           UNION ALL SELECT store, 1, 2 FROM old WHERE user_id % 10 = 6),
 f AS (
@@ -127,8 +130,8 @@ f AS (
       coalesce((SELECT min(TIMESTAMP '2023-12-01' + to_days(CAST(user_id % 20 AS INTEGER))) FROM idx o WHERE o.store = s.store AND user_id % 16 <> 6), min(st))))
     FROM (SELECT store, g, CASE WHEN g % 7 <> 3 THEN st END AS st FROM s) s GROUP BY store
   UNION ALL SELECT store, 'provider', 'detailed', epoch_us(min(st) FILTER (g % 7 <> 3)) FROM s GROUP BY store
-  UNION ALL SELECT store, 'provider', 'known_incomplete', CAST(count(*) FILTER (broken OR (event_type = 'error' AND k % 13 = 0) OR user_id % 16 = 6) > 0 AS INTEGER)
-    FROM r GROUP BY store
+  UNION ALL SELECT store, 'provider', 'known_incomplete', CAST(gap AS INTEGER) FROM gaps
+  UNION ALL SELECT store, 'provider', 'assessment_incomplete', CAST(NOT gap AND loss AS INTEGER) FROM gaps
   UNION ALL SELECT store, 'total', 'sessions', count(*) FILTER (g % 7 <> 3) + (SELECT count(*) FROM solo o WHERE o.store = s.store) FROM s GROUP BY store
   UNION ALL SELECT store, 'total', 'child_sessions', count(*) FILTER (g % 7 = 3) FROM s GROUP BY store
   UNION ALL SELECT store, 'total', 'tool_calls', sum(calls) FROM s GROUP BY store
@@ -174,9 +177,9 @@ def codex_read(spark, sf_dir):
     first = F.col("g") % 3 > 0
     _stores(rollouts.where(first), lake, lambda df, to: write_logs(df, f"{to}/codex/sessions", "rollout"))
     _stores(rollouts.where(~first), lake, lambda df, to: write_logs(df, f"{to}/codex/archived_sessions", "rollout"))
-    month = F.concat(F.lit("m"), F.col("n") % 3)
-    _stores(history.withColumn("file", month), lake, lambda df, to: write_logs(df, f"{to}/codex/history.jsonl", "part"))
-    _stores(index.withColumn("file", month), lake, lambda df, to: write_logs(df, f"{to}/codex/session_index.jsonl", "part"))
+    # One file for each store, as in a home: line numbers of a history are parts of its prompts' ids.
+    _stores(history.withColumn("file", F.lit("all")), lake, lambda df, to: write_logs(df, f"{to}/codex/history.jsonl", "part"))
+    _stores(index.withColumn("file", F.concat(F.lit("m"), F.col("n") % 3)), lake, lambda df, to: write_logs(df, f"{to}/codex/session_index.jsonl", "part"))
     with small_splits(spark):
         listed = list_files(spark, lake, "codex_rollouts").groupBy(F.col("store_id").alias("store")).agg(
             F.lit("listing").alias("kind"), F.lit("rollouts").alias("name"), F.count(F.lit(1)).alias("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tallyloom.functions import text
-from tallyloom.operators import audit, chain, copies, dedupe, ordered, reconcile
+from tallyloom.operators import audit, chain, copies, dedupe, ordered, reconcile, replay
 from tallyloom.plans.bindings import EV, ev_calls, ev_sessions, events, table
 from tallyloom.plans.registry import query
 from tallyloom.schemas import usage
@@ -434,3 +434,45 @@ SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN nullif(trim(substr(replace(trim(te
 def safe_label(spark, sf_dir):
     raw = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("/"), F.col("text"))).otherwise(F.col("text"))
     return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.safe_label(raw, 40).alias("label"))
+
+
+#: Logs of edits, and ids in a log; an event of a kind may name ids that never existed.
+EDIT_LOGS, EDIT_IDS = 20, 37
+
+
+@query("edit_replay", f"""
+WITH RECURSIVE e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, user_id % {EDIT_LOGS} AS log FROM events),
+o AS (
+  SELECT log, event_id, k, event_id % {EDIT_IDS} AS id, row_number() OVER (PARTITION BY log ORDER BY event_id) AS step,
+    CASE WHEN event_type IN ('view', 'click') THEN 'put' WHEN event_type = 'signup' THEN 'patch'
+      WHEN log % 3 = 1 THEN 'put' WHEN event_type = 'purchase' AND k % 4 = 0 AND log % 3 = 2 THEN 'order'
+      WHEN event_type = 'purchase' THEN 'remove' WHEN k % 10 = 0 THEN 'rewind' ELSE 'put' END AS op,
+    event_id % ({EDIT_IDS} + 4) AS target, [k % {EDIT_IDS}, (k + 5) % {EDIT_IDS}, (k + 11) % {EDIT_IDS}] AS listed FROM e),
+s AS (
+  SELECT log, CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS live FROM o GROUP BY log
+  UNION ALL
+  SELECT s.log, s.step + 1, CASE op
+    WHEN 'put' THEN CASE WHEN list_contains(live, id) THEN live ELSE list_append(live, id) END
+    WHEN 'remove' THEN list_filter(live, lambda x: x <> id)
+    WHEN 'order' THEN list_concat(list_filter(live, lambda x: NOT list_contains(listed, x)), list_filter(listed, lambda x: list_contains(live, x)))
+    WHEN 'rewind' THEN CASE WHEN list_contains(live, target) THEN live[1:list_position(live, target) - 1] ELSE CAST([] AS BIGINT[]) END
+    ELSE live END
+  FROM s JOIN o ON o.log = s.log AND o.step = s.step + 1),
+last AS (SELECT log, unnest(live) AS id FROM s QUALIFY row_number() OVER (PARTITION BY log ORDER BY step DESC) = 1),
+sizes AS (SELECT log, id, arg_max(k, event_id) AS words FROM o WHERE op IN ('put', 'patch') GROUP BY ALL)
+SELECT log, id, words FROM last JOIN sizes USING (log, id)""")
+def edit_replay(spark, sf_dir):
+    """Logs without edits, with removals and rewinds (to unknown ids, too), and with reorders, each over many blocks."""
+    ev = events(spark, sf_dir).withColumn("log", F.col("user_id") % EDIT_LOGS)
+    k, kind, ident, third = F.col("k"), F.col("event_type"), F.col("event_id"), F.col("log") % 3
+    op = (F.when(kind.isin("view", "click"), "put").when(kind == "signup", "patch").when(third == 1, "put")
+           .when((kind == "purchase") & (k % 4 == 0) & (third == 2), "order").when(kind == "purchase", "remove")
+           .when(k % 10 == 0, "rewind").otherwise("put"))
+    named = F.when(F.col("op") == "rewind", ident % (EDIT_IDS + 4)).otherwise(ident % EDIT_IDS)
+    seq = F.struct(F.floor(ident / 50).alias("block"), ident.alias("n"), F.lit(0).cast("bigint").alias("sub"))
+    message = F.from_json(F.to_json(F.struct(k.alias("words"), k.alias("characters"), F.lit(True).alias("has_text"))), replay.MESSAGE)
+    rows = ev.withColumn("op", op).select(
+        F.lit("s").alias("store_id"), F.col("log").cast("string").alias("path"), seq.alias("seq"), "op", named.cast("string").alias("id"),
+        F.array(*[((k + d) % EDIT_IDS).cast("string") for d in (0, 5, 11)]).alias("ids"), message.alias("message"))
+    left = replay.survivors(rows, Stage.shared(spark))
+    return left.select(F.col("path").cast("bigint").alias("log"), F.col("id").cast("bigint").alias("id"), F.col("message.words").alias("words"))
