@@ -12,8 +12,8 @@ the first one in the two pieces alone.) So pieces can be found from left to righ
    back for a shorter one. Each place fails at most once, so the work stays linear in the text.
 
 Compatible pairs are remembered. Characters in no piece become byte pieces. Between two characters that stand beside
-each other in no piece a text falls apart into words; the words of a task's slice are encoded once each and remembered
-(up to ``KEEP`` words, then forgotten, which costs time, not results). Tasks take slices of whole texts; no shuffle
+each other in no piece a text falls apart into words; the words of a slice are encoded once each and remembered by
+the worker (up to ``KEEP`` words, then forgotten, which costs time, not results). Tasks take slices of whole texts; no shuffle
 takes place. Decoding looks ids up in a table of byte strings.
 
 Edge cases: a null text counts as empty, and has the end id only; the strings of control pieces are ordinary text; a
@@ -140,6 +140,7 @@ class Tables:
         self.together = np.zeros(1 << 22, dtype=bool)
         pairs = np.array([[ord(a), ord(b)] for p in known for a, b in pairwise(p)], dtype=np.uint32).reshape(-1, 2)
         self.together[self.pair(pairs[:, 0], pairs[:, 1])] = True
+        self.decimal = [str(i) for i in range(len(pieces))]
         self.histories: dict[int, list | None] = {-1: [], self.other: []}
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -186,7 +187,6 @@ class Encoder:
         self.numbers: defaultdict[str, int] = defaultdict()
         self.numbers.default_factory = self.numbers.__len__
         self.ids, self.counts = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
-        self.shown: list[str] = []
         self.known: dict[int, bool] = {}
         self.chars = 0
 
@@ -223,30 +223,33 @@ class Encoder:
                 piece, last = shorter[piece], row[-1] if row else -1
         return row
 
-    def words(self, words: list[str]) -> Iterator[list[int]]:
-        """The ids of each word. Many words are one text, held apart by a character of no piece."""
+    def words(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of all words, one after the other, and the number of each word's ids, for some words at a time.
+
+        Some words are one text, held apart by a character of no piece.
+        """
         tables, pieces = self.tables, len(self.tables.vocabulary.pieces)
+        length = np.array(tables.length, dtype=np.int64)
         start = 0
         while start < len(words):
             end, size = start, 0
             while end < len(words) and size < STRIDE:
                 size += len(words[end]) + 1
                 end += 1
-            some = words[start:end]
-            row, at = self.walk(tables.apart.join(some)), 0
-            for word in some:
-                ids, here = [], 0
-                while here < len(word):
-                    piece = row[at]
-                    if piece < pieces:
-                        ids.append(piece)
-                    else:
-                        ids += [tables.vocabulary.byte_id[b] for b in word[here].encode()]
-                    here += tables.length[piece]
-                    at += 1
-                at += 1
-                yield ids
-            start = end
+            some, start = words[start:end], end
+            text = tables.apart.join(some)
+            row = np.array(self.walk(text), dtype=np.int64)
+            places = np.cumsum(length[row]) - length[row]
+            apart = np.searchsorted(places, np.cumsum([len(w) + 1 for w in some])[:-1] - 1)
+            counts = np.ones(len(row), dtype=np.int64)
+            counts[apart] = 0
+            odd = np.flatnonzero((row >= pieces) & (counts > 0))
+            held = [[tables.vocabulary.byte_id[b] for b in text[i].encode()] for i in places[odd].tolist()]
+            counts[odd] = [len(h) for h in held]
+            ids = np.repeat(row, counts)
+            if len(odd):
+                ids[_ragged((np.cumsum(counts) - counts)[odd], counts[odd])] = np.concatenate(held)
+            yield ids.astype(np.int32), np.add.reduceat(counts, np.append(0, apart))
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
         """Ids of each text, the end id last, and the ids as decimal numbers joined by a space."""
@@ -265,15 +268,14 @@ class Encoder:
         new = [w for w, _ in zip(reversed(self.numbers), range(len(self.numbers) - known), strict=False)][::-1]
         found = list(self.words(new))
         self.chars += sum(map(len, new))
-        self.shown += [" ".join(map(str, ids)) for ids in found]
-        self.ids = np.concatenate([self.ids, np.array([i for ids in found for i in ids], dtype=np.int32)])
-        self.counts = np.concatenate([self.counts, np.array([len(ids) for ids in found], dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, *(ids for ids, _ in found)])
+        self.counts = np.concatenate([self.counts, *(counts for _, counts in found)])
         starts, end = np.cumsum(self.counts) - self.counts, self.tables.vocabulary.end
         ids, decimal, at = [], [], 0
         for to in np.searchsorted(cuts, ends).tolist():
             doc, at = words[at:to], to
             ids.append(np.append(self.ids[_ragged(starts[doc], self.counts[doc])], np.int32(end)))
-            decimal.append(" ".join([*map(self.shown.__getitem__, doc.tolist()), str(end)]))
+            decimal.append(" ".join(map(self.tables.decimal.__getitem__, ids[-1].tolist())))
         return ids, decimal
 
 
@@ -284,16 +286,16 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", with_ids: bool
     ``model_path`` is read by the driver.
     """
     with open(model_path, "rb") as file:
-        # Bounded: the vocabulary. A worker adds the tables to its copy, for the next tasks of the job.
+        # Bounded: the vocabulary. A worker adds tables and known words to its copy, for the next tasks of the job.
         shared = docs.sparkSession.sparkContext.broadcast({"model": file.read()})
     added = SCHEMA + ", ids array<int>" * with_ids
     kept = others(docs, added, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "tables" not in shared.value:
-            shared.value["tables"] = Tables(Vocabulary(shared.value["model"]))
-        tables = shared.value["tables"]
-        encoder, decoder = Encoder(tables), Decoder(tables.vocabulary)
+        if "encoder" not in shared.value:
+            shared.value["encoder"] = Encoder(Tables(Vocabulary(shared.value["model"])))
+        encoder = shared.value["encoder"]
+        decoder = Decoder(encoder.tables.vocabulary)
         for batch in sliced(batches, text, CHUNK):
             ids, shown = encoder.encode([t or "" for t in batch.column(text).to_pylist()])
             arrays = [*(batch.column(c) for c in kept), pa.array([len(x) for x in ids], pa.int64()),
