@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tallyloom.functions import text
-from tallyloom.operators import audit, chain, copies, dedupe, ordered, reconcile, replay
+from tallyloom.operators import audit, chain, copies, dedupe, ordered, reconcile, replay, tree
 from tallyloom.plans.bindings import EV, ev_calls, ev_sessions, events, table
 from tallyloom.plans.registry import query
 from tallyloom.schemas import usage
@@ -392,6 +392,54 @@ def manifest_compare(spark, sf_dir):
     return row.select("files", "changed_files", "directory_changes", "verified")
 
 
+def _trees(spark, sf_dir):
+    """Texts as files, two levels deep; some change, some go, one directory becomes a link, an empty one is only there later."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source").withColumn("source", F.coalesce("source", F.lit("-")))
+    k = F.col("doc_id")
+    path = F.concat_ws("/", F.lit("/r"), "source", k % 7, k)
+    files = docs.select("doc_id", path.alias("path"), F.lit("file").alias("kind"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content"))
+    after = files.where((k % 50 != 7) & (k % 7 != 3)).withColumn(
+        "content", F.when((k % 40 == 3) & (k % 7 == 1), F.sha2(F.concat("content", F.lit("x")), 256)).otherwise(F.col("content")))
+    odd = docs.select("source").distinct().select(
+        F.inline(F.array(F.struct(F.concat(F.lit("/r/"), "source", F.lit("/3")).alias("path"), F.lit("link").alias("kind"), F.lit("/x").alias("content")),
+                         F.struct(F.concat(F.lit("/r/"), "source", F.lit("/empty")).alias("path"), F.lit("dir").alias("kind"), F.lit("").alias("content")))))
+    stage = Stage.shared(spark)
+    return (tree.build(files.drop("doc_id"), lambda df, name: stage(df, f"before-{name}")),
+            tree.build(after.drop("doc_id").unionByName(odd), lambda df, name: stage(df, f"after-{name}")), stage)
+
+
+_TREE = """
+WITH d AS (SELECT doc_id, coalesce(source, '-') AS source, doc_id % 7 AS part, '/r/' || coalesce(source, '-') || '/' || doc_id % 7 AS dir
+  FROM documents),
+f AS (SELECT *, CASE WHEN part = 3 OR doc_id % 50 = 7 THEN 'removed' WHEN doc_id % 40 = 3 AND part = 1 THEN 'modified' END AS state FROM d),
+dirs AS (SELECT dir, source, part, count(*) AS n, count(*) FILTER (state = 'removed') AS gone, count(state) AS changed FROM f GROUP BY ALL)
+"""
+
+
+@query("tree_changes", _TREE + """
+SELECT dir || '/' || doc_id AS path, 'file' AS kind, state FROM f WHERE state IS NOT NULL
+UNION ALL SELECT dir, CASE WHEN part = 3 THEN 'link' ELSE 'dir' END, CASE WHEN part <> 3 AND gone = n THEN 'removed' ELSE 'modified' END
+  FROM dirs WHERE changed > 0
+UNION ALL SELECT '/r/' || source || '/3', 'link', 'added' FROM dirs GROUP BY source HAVING count(*) FILTER (part = 3) = 0
+UNION ALL SELECT DISTINCT '/r/' || source || '/empty', 'dir', 'added' FROM d
+UNION ALL SELECT DISTINCT '/r/' || source, 'dir', 'modified' FROM d
+UNION ALL VALUES ('/r', 'dir', 'modified'), ('', 'dir', 'modified')""")
+def tree_changes(spark, sf_dir):
+    """What differs between two trees, found from the root down."""
+    before, after, stage = _trees(spark, sf_dir)
+    return tree.changes(before, after, stage)
+
+
+@query("tree_verified", _TREE + """
+SELECT dir AS root, part <> 3 AND gone < n OR part = 3 AS exists, changed = 0 AS verified FROM dirs
+UNION ALL SELECT '/r/nowhere', false, false""")
+def tree_verified(spark, sf_dir):
+    """Directories as configured roots: the same, changed, gone, and one that never was."""
+    before, after, _ = _trees(spark, sf_dir)
+    roots = before.where("depth = 3").select("path").collect()  # a row for each seventh of a source
+    return tree.verified(before, after, [*(r.path for r in roots), "/r/nowhere"])
+
+
 @query("directory_inventory", """
 SELECT '/' || source AS path, count(*) AS entries FROM documents GROUP BY 1
 UNION ALL SELECT '/', count(DISTINCT source) FROM documents""")
