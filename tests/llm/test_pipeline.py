@@ -10,7 +10,10 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parents[2]))
 import corpus_pipeline  # noqa: E402
 
+from check_oracles import connect  # noqa: E402
+
 from tallyloom.llm import mixing  # noqa: E402
+from tallyloom.llm.oracles import QUALITY  # noqa: E402
 
 from .test_bpe import REFERENCE
 from .test_quality import brute
@@ -42,8 +45,11 @@ def test_names_and_columns(stages):
 
 
 def test_quality_rules(stages):
+    """Kept are exactly the documents that the SQL of the rules keeps, and no rule of the base is broken."""
     docs, done = stages["quality_rules"]
     kept = set(ids(done))
+    judged = connect("/root/testdata/sf0.001").execute(f"SELECT doc_id FROM ({QUALITY}) WHERE kept").fetchall()
+    assert kept == {doc_id for doc_id, in judged} and 0 < len(kept) < docs.count()
     for r in docs.collect():
         _, n_words, _, n_symbols, *_, base_failed = brute(r.doc_id, r.text)
         assert not (r.doc_id in kept and (base_failed or n_symbols > 0.2 * n_words))
