@@ -14,9 +14,11 @@ from tallyloom.schemas import Tables
 from tallyloom.sources import codex
 from tallyloom.sources.lake import Lake, Stage, list_files
 
-#: Threads of the logs, and bytes of a split: logs of the larger tables have several.
+#: Threads of the logs, and least bytes of a split: logs of the larger tables have several.
 THREADS = 40
 SPLIT_BYTES = 32 << 10
+#: Splits of all logs together, beyond which splits grow with the logs: each task reports to the driver.
+SPLITS = 256
 
 
 def write_logs(lines: DataFrame, folder: str, stem: str) -> None:
@@ -34,10 +36,19 @@ def write_logs(lines: DataFrame, folder: str, stem: str) -> None:
             system.rename(path(name), path(name.removesuffix(".txt") + ".jsonl"))
 
 
+def split_bytes(total: int, most: int) -> int:
+    """Bytes of a split of logs of ``total`` bytes: ``SPLITS`` in all, as long as they lie between ``SPLIT_BYTES`` and ``most``."""
+    return min(max(SPLIT_BYTES, -(-total // SPLITS)), max(SPLIT_BYTES, most))
+
+
 @contextmanager
-def small_splits(spark: SparkSession):
-    """Splits of ``SPLIT_BYTES`` while the readers scan."""
-    names = {"spark.sql.files.maxPartitionBytes": str(SPLIT_BYTES), "spark.sql.files.openCostInBytes": "0"}
+def small_splits(spark: SparkSession, lake: Lake):
+    """Splits of :func:`split_bytes` while the readers scan, so that all logs have several and tasks don't grow with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(lake.base)
+    total = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    # The session's own value may carry a unit.
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    names = {"spark.sql.files.maxPartitionBytes": str(split_bytes(total, most)), "spark.sql.files.openCostInBytes": "0"}
     before = {k: spark.conf.get(k) for k in names}
     for k, v in names.items():
         spark.conf.set(k, v)
@@ -180,7 +191,7 @@ def codex_read(spark, sf_dir):
     # One file for each store, as in a home: line numbers of a history are parts of its prompts' ids.
     _stores(history.withColumn("file", F.lit("all")), lake, lambda df, to: write_logs(df, f"{to}/codex/history.jsonl", "part"))
     _stores(index.withColumn("file", F.concat(F.lit("m"), F.col("n") % 3)), lake, lambda df, to: write_logs(df, f"{to}/codex/session_index.jsonl", "part"))
-    with small_splits(spark):
+    with small_splits(spark, lake):
         listed = list_files(spark, lake, "codex_rollouts").groupBy(F.col("store_id").alias("store")).agg(
             F.lit("listing").alias("kind"), F.lit("rollouts").alias("name"), F.count(F.lit(1)).alias("value"))
         return facts(codex.read(spark, lake, stage), [listed])
@@ -250,7 +261,7 @@ def codex_chains(spark, sf_dir):
     write_logs(whole, f"{lake.base}/a/codex/sessions", "rollout")
     firsts = spans.groupBy("g").agg(F.min("seg").alias("seg")).where("g % 4 = 1")
     write_logs(whole.join(firsts, ["g", "seg"], "left_semi"), f"{lake.base}/a/codex/recovery", "rollout")
-    with small_splits(spark):
+    with small_splits(spark, lake):
         t = codex.read(spark, lake, stage)
     prompts = t.prompts.groupBy("session_id").agg(F.count(F.lit(1)).alias("prompts"), F.sum("words").alias("words"))
     none = F.lit(None).cast("bigint")
