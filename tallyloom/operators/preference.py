@@ -10,10 +10,16 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import islice
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+#: Rows of a batch that a task hands on: a key's row is a few bytes, far less than what a batch costs.
+BATCH = 2_000
+
 RUN = "part int, firsts array<long>, first_at array<int>, seconds array<long>, second_at array<int>, ends array<int>, " \
       "held_names array<string>, held_firsts array<long>, held_seconds array<long>"
 
@@ -110,11 +116,18 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator
         yield last, held
 
 
+def _batched(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """``rows`` in batches of ``BATCH``."""
+    while some := list(islice(rows, BATCH)):
+        yield pa.RecordBatch.from_pylist(some, schema=schema)
+
+
 def last_preferred(rows: DataFrame, keys: Sequence[str], name: str, first: str, second: str) -> DataFrame:
     """``keys`` and the ``name`` that is held in the end. ``first`` and ``second`` are longs without nulls.
 
     Rows are ordered by a range partitioning, which cuts a key of any size where a partition ends; a task holds the rows
-    of one key in its partition, and a key has a summary for each partition that it touches.
+    of one key in its partition, and a key has a summary for each partition that it touches. Keys of one row hold it and
+    take no part in the fold.
     """
     keys = list(keys)
     kinds = dict(rows.dtypes)
@@ -125,16 +138,19 @@ def last_preferred(rows: DataFrame, keys: Sequence[str], name: str, first: str,
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        for key, held in _grouped(batches, keys):
-            run = summary([r[name] for r in held], [r[first] for r in held], [r[second] for r in held])
-            yield pa.RecordBatch.from_pylist([{**dict(zip(keys, key, strict=True)), "part": part, **run}], schema=shape)
+        yield from _batched(({**dict(zip(keys, key, strict=True)), "part": part,
+                              **summary([r[name] for r in held], [r[first] for r in held], [r[second] for r in held])}
+                             for key, held in _grouped(batches, keys)), shape)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, runs in _grouped(batches, keys):
-            state = None
-            for run in runs:
-                state = applied(state, run)
-            yield pa.RecordBatch.from_pylist([{**dict(zip(keys, key, strict=True)), name: state[0]}], schema=result)
+        def held() -> Iterator[dict]:
+            for key, runs in _grouped(batches, keys):
+                state = None
+                for run in runs:
+                    state = applied(state, run)
+                yield {**dict(zip(keys, key, strict=True)), name: state[0]}
+
+        yield from _batched(held(), result)
 
     longs, ints, strings = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string())
     shape = pa.schema([*((k, pa.string()) for k in keys), ("part", pa.int32()), ("firsts", longs), ("first_at", ints),
@@ -142,6 +158,11 @@ def last_preferred(rows: DataFrame, keys: Sequence[str], name: str, first: str,
                        ("held_firsts", longs), ("held_seconds", longs)])
     result = pa.schema([*((k, pa.string()) for k in keys), (name, pa.string())])
     narrow = rows.select(*keys, name, first, second)
-    runs = narrow.repartitionByRange(*keys, name).sortWithinPartitions(*keys, name).mapInArrow(summarise, f"{head}, {RUN}")
-    return runs.select(*keys, *fields).repartition(*keys).sortWithinPartitions(*keys, "part") \
+    counted = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(name).alias(name))
+    several = counted.where("_n > 1").select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    several = narrow.join(several, reduce(and_, same), "left_semi")
+    runs = several.repartitionByRange(*keys, name).sortWithinPartitions(*keys, name).mapInArrow(summarise, f"{head}, {RUN}")
+    folded = runs.select(*keys, *fields).repartition(*keys).sortWithinPartitions(*keys, "part") \
         .mapInArrow(fold, f"{head}, {name} string")
+    return counted.where("_n = 1").select(*keys, name).unionByName(folded)

@@ -336,7 +336,8 @@ def normalize(raw: DataFrame, history: DataFrame | None = None,
     loose = valid.where(~F.col("stitched")).join(
         chains.select("store_id", "session_id").distinct(), ["store_id", "session_id"], "left_anti")
     chosen = choose_files(loose)
-    winners = loose.join(chosen, ["store_id", "session_id", "path"], "left_semi").unionByName(chains)
+    # Four tables are made from the winners; the fold that finds them runs once.
+    winners = stage(loose.join(chosen, ["store_id", "session_id", "path"], "left_semi").unionByName(chains), "codex_winners")
     dropped = valid.groupBy("store_id", "session_id").agg(F.count(F.lit(1)).alias("n")).join(
         winners.groupBy("store_id", "session_id").agg(F.count(F.lit(1)).alias("w")), ["store_id", "session_id"])
     at = F.struct("started_at", "path")

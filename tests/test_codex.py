@@ -195,3 +195,12 @@ def test_one_damaged_archive_among_good_ones(spark, store, lake):
     bad = unreadable_files(spark, lake, "codex_rollouts", "rollout-*").collect()
     assert sorted(r.path.rsplit("/", 1)[1] for r in bad) == ["rollout-bad.jsonl.zst", "rollout-cut.jsonl.zst"]
     assert codex.read(spark, lake).warnings.where("code = 'unreadable_file'").collect()[0].n == 2
+
+
+def test_fold_runs_once(spark, store, lake, tmp_path):
+    """The fold over the files of an id is staged: no table that is made from its winners runs it again."""
+    from tallyloom.sources.lake import Stage
+
+    build_modes(store)
+    t = codex.read(spark, lake, Stage(str(tmp_path / "stage")))
+    assert "MapInArrow" not in t.model_activity._jdf.queryExecution().toString()

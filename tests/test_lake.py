@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tallyloom.operators import preference
@@ -159,3 +160,14 @@ def test_runs_that_publish_at_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ingest.Versions, "numbers", late)
     assert versions.publish("three", ["codex"]) == 3
     assert versions.runs(3) == {"codex": "three", "grok": "two"} and versions.runs(2) == {"codex": "one", "grok": "two"}
+
+
+def test_batches_of_many_keys(spark):
+    """A task hands on its keys in batches, not one batch a key; keys of one row don't reach it at all."""
+    rows = [("s", f"id{i}", f"p{j}", i % 7, j) for i in range(3_000) for j in range(1 + i % 2)]
+    df = spark.createDataFrame(rows, "store_id string, session_id string, path string, e long, n long").repartition(4)
+    got = preference.last_preferred(df, ["store_id", "session_id"], "path", "e", "n")
+    assert sorted((r.session_id, r.path) for r in got.collect()) == sorted((f"id{i}", f"p{i % 2}") for i in range(3_000))
+    shape = pa.schema([("k", pa.string()), ("n", pa.int32())])
+    sizes = [b.num_rows for b in preference._batched(iter([{"k": "a", "n": i} for i in range(4_500)]), shape)]
+    assert sizes == [2_000, 2_000, 500]
