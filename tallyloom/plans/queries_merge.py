@@ -285,25 +285,25 @@ WITH seg AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
 SELECT l_orderkey, count(*) AS segments, count(*) > 1 AND l_orderkey % 5 <> 0 AS stitched FROM seg GROUP BY l_orderkey""")
 def segment_stitch(spark, sf_dir):
     """Files are lines of one order; every fifth order claims a wrong boundary."""
-    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate", "l_partkey")
+    rows = table(spark, sf_dir, "lineitem", *_LI_KEY, "l_shipdate", "l_partkey")
     path = F.concat_ws("/", F.lit("s"), F.col("l_orderkey"), F.col("l_linenumber"))
-    ranked = ordered.rank(rows, ["l_orderkey"], ["l_linenumber"], ["l_shipdate", "l_partkey"], "_at")
     stage = Stage.shared(spark)
-    ranked = stage(ranked, "ranked")
-    starts = ranked.groupBy(*_LI_KEY).agg(F.min("_at").alias("_first"))
-    inside = F.col("_at") - F.col("_first")
-    lines = ranked.join(starts, _LI_KEY).select(
-        F.lit("s").alias("store_id"), path.alias("path"), (F.col("_at") - 1).alias("ordinal"), *_LI_KEY,
+    # A file's number of lines gives all that its head says; only the lines themselves are ordered.
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber")  # at most seven segments
+    counts = rows.groupBy(*_LI_KEY).agg(F.count(F.lit(1)).alias("_n"))
+    heads = stage(counts.select(*_LI_KEY, F.coalesce(F.sum("_n").over(
+        order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first_ordinal"),
+        (F.lag(F.col("_n") * 100).over(order) + F.when(F.col("l_orderkey") % 5 == 0, 50).otherwise(0)).alias("before")), "heads")
+    local = Window.partitionBy(*_LI_KEY).orderBy("l_shipdate", "l_partkey")
+    inside = F.col("_inside")
+    lines = rows.withColumn("_inside", (F.row_number().over(local) - 1).cast("long")).join(heads, _LI_KEY).select(
+        F.lit("s").alias("store_id"), path.alias("path"), (F.col("first_ordinal") + inside).alias("ordinal"),
         (inside * 100).alias("start_offset"), ((inside + 1) * 100).alias("end_offset"))
-    lines = stage(lines, "lines")
-    heads = lines.groupBy("store_id", "l_orderkey", "l_linenumber", "path").agg(
-        F.min("ordinal").alias("first_ordinal"), F.max("end_offset").alias("size"))
-    sizes = Window.partitionBy("l_orderkey").orderBy("l_linenumber")  # at most seven segments
-    before = F.lag("size").over(sizes) + F.when(F.col("l_orderkey") % 5 == 0, 50).otherwise(0)
-    base = F.struct(F.col("l_orderkey").cast("string").alias("thread_id"), before.alias("end_byte_offset"),
+    thread = F.col("l_orderkey").cast("string")
+    base = F.struct(thread.alias("thread_id"), F.col("before").alias("end_byte_offset"),
                     F.col("first_ordinal").alias("end_ordinal_exclusive"))
-    segments = heads.select("store_id", F.col("l_orderkey").cast("string").alias("thread_id"), "path", "first_ordinal",
-                            F.lit(False).alias("packed"), F.when(before.isNotNull(), base).alias("base"))
+    segments = heads.select(F.lit("s").alias("store_id"), thread.alias("thread_id"), path.alias("path"), "first_ordinal",
+                            F.lit(False).alias("packed"), F.when(F.col("before").isNotNull(), base).alias("base"))
     plan = chain.stitch(segments, lines, stage)
     return plan.groupBy(F.col("thread_id").cast("bigint").alias("l_orderkey")).agg(
         F.count(F.lit(1)).alias("segments"), F.bool_or("stitched").alias("stitched"))

@@ -24,3 +24,15 @@ def test_splits_of_a_lake(spark, store, lake):
         files = spark.read.option("recursiveFileLookup", "true").text(f"{lake.base}")
         assert SPLITS <= files.rdd.getNumPartitions() <= SPLITS + 8
     assert spark.conf.get(name) == before
+
+
+def test_segments_come_from_counts(spark, monkeypatch):
+    """Heads of segments are made from the counts of their lines; lines are neither written nor ranked over their record."""
+    from tallyloom.plans import catalog
+    from tallyloom.sources.lake import Stage
+
+    names, write = [], Stage.__call__
+    monkeypatch.setattr(Stage, "__call__", lambda self, df, name: names.append(name) or write(self, df, name))
+    got = catalog.queries()["segment_stitch"](spark, "/root/testdata/sf0.001")
+    assert names == ["heads", "chain_claims", "chain_checked"]
+    assert got.count() > 0
