@@ -362,10 +362,11 @@ def cursor_ingest(spark, sf_dir):
     list has some that the table lacks, and fills in for drafts."""
     ev = events(spark, sf_dir).where(F.col("event_type").isin("view", "click"))
     at = F.unix_millis("ts")
-    heads = ev.groupBy("session_id", "user_id").agg(
+    stage = Stage.shared(spark)
+    heads = stage(ev.groupBy("session_id", "user_id").agg(
         F.min(at).alias("at"), F.collect_list(F.struct(
             F.concat(F.lit("b"), "event_id").alias("bubbleId"), F.when(F.col("event_type") == "view", 1).otherwise(2).alias("type"),
-            (F.col("k") % 8 == 0).alias("isDisplayOnly"))).alias("list"))
+            (F.col("k") % 8 == 0).alias("isDisplayOnly"))).alias("list")), "composers")
     modern = heads.where(F.col("user_id") % 6 != 5).select(
         F.lit("s").alias("store_id"), F.col("session_id").alias("composerId"), F.col("at").alias("createdAt"),
         F.lit(0).cast("bigint").alias("lastUpdatedAt"), F.when(F.col("user_id") % 7 == 3, 1).otherwise(0).cast("bigint").alias("isSubagent"),
@@ -381,7 +382,7 @@ def cursor_ingest(spark, sf_dir):
                               text=F.concat_ws(" ", F.array_repeat(F.lit("w"), F.col("k") % 7))).alias("value"),
                         F.col("event_id").alias("row_n"))
     t = cursor.normalize(spark, modern, items, data.unionByName(bubbles), modern.select("store_id").distinct(),
-        stage=Stage.shared(spark))
+        stage=stage)
     return _by_session(t).select("session_id", "is_child", "prompts", "words")
 
 

@@ -84,21 +84,24 @@ def legacy_headers(items: DataFrame) -> DataFrame:
 def normalize(spark: SparkSession, modern: DataFrame, items: DataFrame, kv: DataFrame, source_files: DataFrame,
               problems: DataFrame | None = None, forced: DataFrame | None = None, stage: Stage = LAZY) -> Tables:
     """``modern``: composerHeaders rows; ``items``: ItemTable rows; ``kv``: cursorDiskKV rows."""
-    merged = precedence_union([keep_headers(modern_headers(modern)), keep_headers(legacy_headers(items))],
-                              ["store_id", "session_id"], ["position"])
+    # Headers and composers are read by several tables each: their JSON is parsed once.
+    merged = stage(precedence_union([keep_headers(modern_headers(modern)), keep_headers(legacy_headers(items))],
+                                    ["store_id", "session_id"], ["position"]), "cursor_merged")
 
     data = kv.where(F.col("key").startswith("composerData:")).withColumn("r", jsonx.parse_record(F.col("value"), COMPOSER))
     cid = F.substring(F.col("key"), len("composerData:") + 1, 1 << 30)
     bad = jsonx.is_malformed(F.col("value"), F.col("r"))
     named = F.coalesce(F.col("r.composerId"), F.lit(""))
     mismatch = ~bad & ((cid == "") | ((named != "") & (named != cid)))
-    checked = data.withColumns({"session_id": cid, "bad": bad, "mismatch": mismatch})
+    uri = text.blank_to_null(F.col("r.workspaceIdentifier.uri"))
+    checked = stage(data.select(
+        "store_id", cid.alias("session_id"), bad.alias("bad"), mismatch.alias("mismatch"),
+        F.when(uri.isNotNull(), text.project_from_uri(uri)).alias("project"),
+        F.col("r.fullConversationHeadersOnly").alias("list")), "cursor_composers")
     composers = checked.where(~F.col("bad") & ~F.col("mismatch")).join(
         merged.select("store_id", "session_id"), ["store_id", "session_id"], "left_semi")
-    uri = text.blank_to_null(F.col("r.workspaceIdentifier.uri"))
-    meta = composers.select("store_id", "session_id", F.when(uri.isNotNull(), text.project_from_uri(uri)).alias("project"),
-                            F.col("r.fullConversationHeadersOnly").isNotNull().alias("canonical"))
-    spread = composers.select("store_id", "session_id", F.posexplode("r.fullConversationHeadersOnly").alias("pos", "h"))
+    meta = composers.select("store_id", "session_id", "project", F.col("list").isNotNull().alias("canonical"))
+    spread = composers.select("store_id", "session_id", F.posexplode("list").alias("pos", "h"))
     heads = spread.where(F.coalesce("h.bubbleId", F.lit("")) != "").select(
         "store_id", "session_id", F.col("h.bubbleId").alias("bubble_id"), "pos",
         ((F.col("h.type") == 1) & ~_yes(F.col("h.isDisplayOnly")) & ~_yes(F.col("h.isSimulated"))).alias("eligible"),

@@ -36,3 +36,16 @@ def test_segments_come_from_counts(spark, monkeypatch):
     got = catalog.queries()["segment_stitch"](spark, "/root/testdata/sf0.001")
     assert names == ["heads", "chain_claims", "chain_checked"]
     assert got.count() > 0
+
+
+def test_cursor_parses_composers_once(spark, monkeypatch):
+    """Headers and composers are staged: what is read after them parses no composer again."""
+    from tallyloom.plans import catalog
+    from tallyloom.sources.lake import Stage
+
+    plans, write = {}, Stage.__call__
+    monkeypatch.setattr(Stage, "__call__", lambda self, df, name: plans.update(
+        {name: df._jdf.queryExecution().optimizedPlan().toString()}) or write(self, df, name))
+    catalog.queries()["cursor_ingest"](spark, "/root/testdata/sf0.001")
+    assert {"composers", "cursor_merged", "cursor_composers"} <= set(plans)
+    assert "from_json" in plans["cursor_composers"] and "from_json" not in plans["cursor_heads"]
