@@ -140,7 +140,7 @@ class Tables:
         self.together = np.zeros(1 << 22, dtype=bool)
         pairs = np.array([[ord(a), ord(b)] for p in known for a, b in pairwise(p)], dtype=np.uint32).reshape(-1, 2)
         self.together[self.pair(pairs[:, 0], pairs[:, 1])] = True
-        self.decimal = [str(i) for i in range(len(pieces))]
+        self.decimal = [str(i) for i in range(max(len(pieces) - 1, vocabulary.end, *vocabulary.byte_id) + 1)]
         self.histories: dict[int, list | None] = {-1: [], self.other: []}
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
