@@ -13,9 +13,11 @@ Of equal vectors in a block only k rows of an id, and of these the 2 k with the
 nearest, since at most k of them have the query's own id; the others are left out before the product, which keeps large
 groups of copies cheap and changes nothing.
 
-Queries are split into groups of about ``GROUP``; each candidate block is sent to every group, each query block to every
-part (a scan task's number modulo the shuffle partitions), so a task's work is bounded by its two sides. With few
-queries there is one group, and candidates move once.
+Queries are split into groups of about ``GROUP``, candidates into parts of about ``CANDIDATES`` (by their scan task and,
+where tasks hold more, by their id). Each candidate block is sent to every group, each query block to every part, so a
+task's work is bounded by its two sides. With few queries there is one group, and candidates move once. Both sides are
+shuffled whatever their size: a query block is repeated for each part, which Spark's estimates of it do not know, and
+broadcast it would pass through the driver. Vectors of floats move as floats.
 
 Edge cases: vectors that are null, empty, zero or hold a null or non-finite component, and rows with a null id, take no
 part. Vectors of another dimension than the query's are no candidates. Rows with the query's own id are never its
@@ -32,7 +34,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,8 @@ CANDIDATES = 16_384
 QUERIES = 4_096
 GROUP = 32_768
 BLOCK_BYTES = 8 << 20
+#: Parts that one scan task's candidates are dealt to at most; a block of each is open meanwhile.
+PARTS_OF_A_TASK = 16
 #: Rows and columns of a product held at once.
 PANEL = (512, 4_096)
 #: Dimensions whose int8 products add up exactly in single precision.
@@ -55,12 +58,9 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
-def _pack(most: int, parts: int = 0):
+def _pack(most: int, kind: str):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of vectors of one part and dimension; ids as int64, data as float64, both little-endian.
-
-        The part is given as a column, or else is the task's number modulo ``parts``.
-        """
+        """Blocks of vectors of one part and dimension; ids as int64, data as ``kind``, both little-endian."""
         held = {}
 
         def block(part: int, dim: int) -> pa.RecordBatch:
@@ -68,16 +68,16 @@ def _pack(most: int, parts: int = 0):
             return pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()), "dim": pa.array([dim], pa.int32()),
                 "ids": pa.array([np.concatenate(ids).astype("<i8").tobytes()], pa.binary()),
-                "data": pa.array([np.concatenate(data).astype("<f8").tobytes()], pa.binary())})
+                "data": pa.array([np.concatenate(data).astype(kind).tobytes()], pa.binary())})
 
         for batch in batches:
             ids = np.asarray(batch.column("vec_id"))
             lists = batch.column("vector")
             sizes = np.asarray(pc.list_value_length(lists))
             flat, starts = np.asarray(lists.flatten()), np.cumsum(sizes) - sizes
-            task = np.full(len(ids), TaskContext.get().partitionId() % parts) if parts else np.asarray(batch.column("part"))
-            for part, dim in sorted(set(zip(task.tolist(), sizes.tolist(), strict=True))):
-                rows = np.flatnonzero((sizes == dim) & (task == part))
+            parts = np.asarray(batch.column("part"))
+            for part, dim in sorted(set(zip(parts.tolist(), sizes.tolist(), strict=True))):
+                rows = np.flatnonzero((sizes == dim) & (parts == part))
                 step = max(1, min(most, BLOCK_BYTES // (8 * dim)))
                 for at in range(0, len(rows), step):
                     some = rows[at:at + step]
@@ -96,9 +96,9 @@ def _pack(most: int, parts: int = 0):
 class Side:
     """The vectors of a block: original, scaled by a power of two, and as int8 with bounds."""
 
-    def __init__(self, ids: bytes, data: bytes, dim: int, copies: int | None = None):
+    def __init__(self, ids: bytes, data: bytes, dim: int, kind: str, copies: int | None = None):
         self.ids = np.frombuffer(ids, dtype="<i8")
-        raw = np.frombuffer(data, dtype="<f8").reshape(-1, dim)
+        raw = np.frombuffer(data, dtype=kind).reshape(-1, dim).astype("<f8")
         if copies:
             keep = self._few_copies(raw, copies)
             self.ids, raw = self.ids[keep], raw[keep]
@@ -172,7 +172,7 @@ def tile(queries: Side, candidates: Side, k: int, best: list[list[tuple]]) -> No
                 best[at] = heapq.nsmallest(k, heapq.merge(best[at], pairs))
 
 
-def _tiles(k: int):
+def _tiles(k: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Tiles in the order of their keys; the k best of a query so far are kept while the key lasts."""
         key, state, candidate, side = None, {}, None, None
@@ -194,10 +194,10 @@ def _tiles(k: int):
                     key, state, candidate = (part, group, dim), {}, None
                 q_ids, c_ids = batch.column("q_ids")[row].as_py(), batch.column("ids")[row].as_py()
                 if q_ids not in state:
-                    queries = Side(q_ids, batch.column("q_data")[row].as_py(), dim)
+                    queries = Side(q_ids, batch.column("q_data")[row].as_py(), dim, kind)
                     state[q_ids] = (queries, [[] for _ in queries.ids])
                 if c_ids != candidate:
-                    candidate, side = c_ids, Side(c_ids, batch.column("data")[row].as_py(), dim, k)
+                    candidate, side = c_ids, Side(c_ids, batch.column("data")[row].as_py(), dim, kind, k)
                 queries, best = state[q_ids]
                 tile(queries, side, k, best)
         yield from flush()
@@ -207,23 +207,26 @@ def _tiles(k: int):
 
 def search(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of ``candidates`` of each of the ``queries`` (both vec_id, vector)."""
-    kind = F.col("vector").cast("array<double>")
-    candidates = candidates.select(F.col("vec_id").cast("long").alias("vec_id"), kind.alias("vector")) \
-        .where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
-    queries = queries.select(F.col("vec_id").cast("long").alias("vec_id"), kind.alias("vector")) \
-        .where(usable(F.col("vector")) & F.col("vec_id").isNotNull()) \
-        .groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    floats = all(dict(df.dtypes)["vector"] == "array<float>" for df in (candidates, queries))
+    kind, stored = ("<f4", "array<float>") if floats else ("<f8", "array<double>")
+    candidates, queries = (df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast(stored).alias("vector"))
+                           .where(usable(F.col("vector")) & F.col("vec_id").isNotNull()) for df in (candidates, queries))
+    queries = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
     groups = max(1, math.ceil(queries.count() / GROUP))
-    parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, last = candidates.select(F.spark_partition_id().alias("task")).agg(F.count("*"), F.max("task")).first()
+    parts = max(1, math.ceil(n / CANDIDATES))
+    of_task = min(PARTS_OF_A_TASK, math.ceil(parts / ((last or 0) + 1)))
     # Blocks of one group: its rows are packed by the task that holds them.
     packed = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")) \
         .repartition(groups, "part").sortWithinPartitions("part", "vec_id") \
-        .mapInArrow(_pack(QUERIES), BLOCK).withColumnsRenamed({"ids": "q_ids", "data": "q_data", "part": "grp"})
+        .mapInArrow(_pack(QUERIES, kind), BLOCK).withColumnsRenamed({"ids": "q_ids", "data": "q_data", "part": "grp"})
     packed = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    blocks = candidates.mapInArrow(_pack(CANDIDATES, parts), BLOCK) \
+    part = F.spark_partition_id() * of_task + F.pmod(F.xxhash64("vec_id"), F.lit(of_task))
+    blocks = candidates.withColumn("part", F.pmod(part, F.lit(parts)).cast("int")) \
+        .mapInArrow(_pack(CANDIDATES, kind), BLOCK) \
         .withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    tiles = blocks.join(packed, ["part", "grp", "dim"])
-    found = tiles.mapInArrow(_tiles(k), "query_id long, vec_id long, score double")
+    tiles = blocks.join(packed.hint("merge"), ["part", "grp", "dim"])
+    found = tiles.mapInArrow(_tiles(k, kind), "query_id long, vec_id long, score double")
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k) \
         .select("query_id", "rank", "vec_id", "score")

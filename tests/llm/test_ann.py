@@ -52,6 +52,34 @@ def test_several_query_groups(spark, monkeypatch):
     compare(spark, vectors(500, 8, 2))
 
 
+def test_no_side_is_broadcast(spark):
+    df = spark.createDataFrame(vectors(300, 8, 4), "vec_id long, embedding array<float>")
+    found = ann.report(df)
+    assert found.count() == 30
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_task_deals_its_rows_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CANDIDATES", 16)
+    rows = [(i, [float(round(16 * x)) for x in v]) for i, v in vectors(500, 8, 5)]
+    for kind in ("array<float>", "array<double>"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding {kind}").coalesce(1)
+        got = sorted(tuple(r) for r in ann.report(df).collect())
+        want = sorted(brute(rows))
+        assert [r[:3] for r in got] == [r[:3] for r in want]
+        assert [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=1e-15)
+
+
+def test_floats_against_doubles(spark):
+    rows = vectors(200, 4, 6)
+    doubles = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    floats = doubles.withColumn("vector", doubles.vector.cast("array<float>"))
+    got = ann.search(doubles, floats.where("vec_id % 50 = 0")).collect()
+    want = ann.search(doubles, floats.where("vec_id % 50 = 0").withColumn("vector", floats.vector.cast("array<double>")))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect()))
+
+
 def test_edges(spark):
     rows = vectors(120, 4, 3)
     rows += [(200, None), (250, []), (300, [0.0] * 4), (350, [1.0, None, 2.0, 3.0]), (400, [float("nan")] * 4),
