@@ -3,9 +3,11 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
 import xxhash
 
 from tallyloom.llm import simhash
+from tallyloom.llm.common import cut, fits
 
 from .conftest import same
 
@@ -96,3 +98,26 @@ def test_keep_one_of_each(docs, rows):
 def test_empty(empty):
     assert simhash.report(empty).count() == 0
     assert simhash.keep_one(empty, ("doc_id", "text")).count() == 0
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_large_star", None)  # a round would fail
+    stars = [(7, 1), (8, 1), (9, 2), (4, 2)]
+    got = simhash.components(spark.createDataFrame(stars, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted(stars)
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("edges", [[(3, 2), (2, 1)], [(3, 1), (3, 2)], [(5, 1), (5, 1)]])
+def test_no_stars_yet(spark, edges):
+    assert not simhash._settled(spark.createDataFrame(edges, "a long, b long"))
+    got = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    nodes = {n for e in edges for n in e}
+    assert {r.a: r.b for r in got} == {n: min(nodes) for n in nodes if n != min(nodes)}
+
+
+def test_rows_are_counted_where_they_are(spark, monkeypatch):
+    df = cut(spark.range(1000))
+    for name in ("take", "collect", "head", "toPandas", "toArrow"):  # rows would come to the driver
+        monkeypatch.setattr(type(df), name, None)
+    assert fits(df, 1000) and not fits(df, 999)
